@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if a count has shown that it has at most this many narrow rows.
@@ -28,12 +28,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Has ``df`` at most that many rows? It must be cheap to count (checkpointed); no more than one row beyond is read a partition."""
+    return df.limit(rows + 1).count() <= rows
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
 
-    ``df`` must be cheap to count (checkpointed). Count at most ``rows + 1`` rows.
+    ``df`` must be cheap to count (checkpointed).
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if at_most(df, rows) else df
 
 
 def partitions(spark: SparkSession) -> int:
@@ -162,6 +167,39 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(splitmix(out))
 
 
+# --- which keys have more than one owner ---------------------------------------------------------
+
+#: Rows that a task combines at a time, and their schema.
+FLUSH_ROWS = 2_000_000
+COMBINED = "route bigint, key bigint, owner bigint, shared boolean"
+
+
+def combined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+    """Rows of (keys, owners, shared) arrays, each key once an owner, combined before their shuffle.
+
+    A key that two owners in the task have is shared for certain: one of its rows goes to the key's own
+    place and the others, marked, are spread. So however frequent a key, its place gets a row a task.
+    """
+    keys, owners, again = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys, kind="stable")
+    keys, owners, again = keys[order], owners[order], again[order]
+    same = np.zeros(len(keys), bool)  # as the row before
+    same[1:] = keys[1:] == keys[:-1]
+    met = same.copy()
+    met[:-1] |= same[1:]
+    route = np.where(same, splitmix(keys ^ splitmix(owners.view(np.uint64))), keys)
+    for at in range(0, len(keys), 100_000):
+        part = slice(at, at + 100_000)
+        yield pd.DataFrame({"route": route[part].view(np.int64), "key": keys[part].view(np.int64), "owner": owners[part], "shared": (again | met)[part]})
+
+
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """(key, owner) of combined rows whose key more than one owner has, or that are marked as shared. One shuffle."""
+    same = Window.partitionBy("route")
+    told = rows.withColumn("any", F.max("shared").over(same) | (F.min("owner").over(same) != F.max("owner").over(same)))
+    return told.where("any").select("key", "owner")
+
+
 def default_tokenizer_path(name: str) -> str:
     """The place of a public vocabulary file; WAYGRAPH_TOKENIZERS names another folder."""
     if folder := os.environ.get("WAYGRAPH_TOKENIZERS"):

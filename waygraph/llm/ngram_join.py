@@ -4,8 +4,8 @@ Every document is a set of word shingles (64-bit hashes). Documents of equal set
 
 1. Screening. By the length-l prefix principle, under any one order of all shingles, two sets that
    link share at least l of their prefixes of |A| - ceil(t |A|) + l shingles. With hashes as the order
-   and l about ``EXTRA`` of the set, a class of which fewer prefix shingles occur in another class
-   can't link, and leaves. Most documents do.
+   and l about ``EXTRA`` percent of the set, a class of which fewer prefix shingles occur in another class
+   can't link, and leaves. Most documents do; a second round tries the rest by longer prefixes.
 2. Grouped prefix join. Of the classes left, shingles are ordered by how many classes have them, rare
    ones first. Classes with identical prefixes and size are one group. Groups that share a prefix shingle
    are candidates; candidates are held as stars (a shingle's groups all point to the least of them), so
@@ -35,48 +35,83 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, grouped_frames, partitions, shingle_set
+from .common import COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, grouped_frames, partitions, shared_keys, shingle_set
 from .components import connected_components
 
-EXTRA = 0.05
+#: Percent of a set that the screening prefixes have beyond what a plain prefix has, in the two rounds.
+EXTRA, EXTRA_AGAIN = 5, 30
 #: Classes in a block.
 BLOCK = 400
 HUBS = 4
 
 
-def _needed(size, percent: int):
+def _needed(size: int, percent: int) -> int:
     """ceil(percent / 100 * size), in whole numbers."""
     return -(-size * percent // 100)
 
 
-def screen_length(size: int, percent: int, extra: float = EXTRA) -> tuple[int, int]:
-    """Length of the screening prefix of a set, and how many of it a set that links must share at least."""
-    own = int(extra * size) + 1
-    least = int(extra * _needed(size, percent)) + 1
-    return min(size, size - _needed(size, percent) + own), least
+def screen_length(size: int, percent: int, extra: int) -> int:
+    """Length of the screening prefix of a set of this size."""
+    return min(size, size - _needed(size, percent) + extra * size // 100 + 1)
 
 
-def _features(words: int, percent: int):
+def _least(percent: int, extra: int) -> str:
+    """SQL: how many of its screening prefix a set of n_shingles must share at least to link with anything."""
+    return f"({extra} * ((n_shingles * {percent} + 99) div 100) div 100 + 1)"
+
+
+def _class_of(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _short(key: bytes) -> int:
+    """Eight bytes of a class: keys of tables; where two classes share them, more is let through, nothing is lost."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
+def _features(words: int):
+    """(doc_id, n_shingles, class) of each document."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for doc_id, text in zip(frame["doc_id"], frame["text"]):
                 s = shingle_set(text, words)
-                length, least = screen_length(len(s), percent) if len(s) else (0, 0)
-                key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                rows.append((doc_id, len(s), key, least, s[:length].view(np.int64)))
-                if len(rows) >= 1000:
-                    yield _feature_frame(rows)
-                    rows = []
-            yield _feature_frame(rows)
+                rows.append((doc_id, len(s), _class_of(s) if len(s) else None))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class"])
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
 
     return run
 
 
-def _feature_frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "least", "prefix"])
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    return out
+def _screening(sets_of, percent: int, extra: int):
+    """Screening prefixes as rows for ``shared_keys``; ``sets_of`` gives the sets of a frame. A class counts once a task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[tuple] = []
+        held, seen = 0, set()
+        for frame in frames:
+            for s in sets_of(frame):
+                if not len(s) or (c := _short(_class_of(s))) in seen:
+                    continue
+                seen.add(c)
+                p = s[: screen_length(len(s), percent, extra)]
+                parts.append((p, np.full(len(p), c, np.int64), np.zeros(len(p), bool)))
+                held += len(p)
+                if held > FLUSH_ROWS:
+                    yield from combined(parts)
+                    parts, held, seen = [], 0, set()
+        if parts:
+            yield from combined(parts)
+
+    return run
+
+
+def _passed(rows: DataFrame, classes: DataFrame, percent: int, extra: int) -> DataFrame:
+    """The classes (c, class, n_shingles, doc_id, copies) that share enough of their screening prefix."""
+    counted = shared_keys(rows).groupBy(F.col("owner").alias("c")).agg(F.count("*").alias("n"))
+    return cut(classes.join(counted, "c").where(f"n >= {_least(percent, extra)}").drop("n"))
 
 
 def _sets(words: int):
@@ -85,7 +120,7 @@ def _sets(words: int):
             rows = []
             for key, text in zip(frame["class"], frame["text"]):
                 s = shingle_set(text, words)
-                if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(key):
+                if _class_of(s) == bytes(key):
                     rows.append((key, len(s), s.view(np.int64)))
                 if len(rows) >= 500:
                     yield pd.DataFrame(rows, columns=["class", "size", "tokens"])
@@ -203,51 +238,53 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    features = cut(slim.mapInPandas(_features(words, percent), "doc_id bigint, n_shingles bigint, class binary, least int, prefix array<bigint>"))
-    some = features.where("class is not null")
-    classes = some.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    # one row a class for the screening; short keys, of which equal ones would only let more classes through
-    rows = some.select(F.xxhash64("class").alias("c"), "least", "prefix").groupBy("c").agg(F.first("least").alias("least"), F.first("prefix").alias("prefix"))
-    rows = cut(rows)
-    tokens = rows.select("c", "least", F.explode_outer("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
-    left = tokens.join(shared, "token", "left_semi").groupBy("c", "least").agg(F.count("*").alias("n")).where("n >= least").select("c")
-    # the classes left, each with one document to make its set from again
-    alive = some.select(F.xxhash64("class").alias("c"), "class", "doc_id").join(left, "c", "left_semi")
-    alive = cut(alive.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")))
+    features = cut(slim.mapInPandas(_features(words), "doc_id bigint, n_shingles bigint, class binary"))
+    short = F.expr("cast(conv(hex(substring(class, 1, 8)), 16, -10) as bigint)")
+    classes = features.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    classes = cut(classes.withColumn("c", short))
+
+    # 1. two rounds of screening: all documents by a short prefix, then the classes left by a long one
+    prefixes = slim.select("text").mapInPandas(_screening(lambda f: (shingle_set(t, words) for t in f["text"]), percent, EXTRA), COMBINED)
+    alive = _passed(prefixes, classes, percent, EXTRA)
     texts = slim.join(bounded(alive.select("doc_id", "class")), "doc_id").select("class", "text")
-    sets = cut(texts.mapInPandas(_sets(words), "class binary, size bigint, tokens array<bigint>").dropDuplicates(["class"]))
-
-    # order by frequency among the classes left; prefixes; groups of identical prefix and size
-    each = sets.select(F.xxhash64("class").alias("c"), "size", F.explode_outer("tokens").alias("token"))
+    sets = cut(texts.mapInPandas(_sets(words), "class binary, size bigint, tokens array<bigint>"))
+    if sets.count() > alive.count():  # only if rows repeat their id
+        sets = cut(sets.dropDuplicates(["class"]))
+    prefixes = sets.select("tokens").mapInPandas(_screening(lambda f: (np.asarray(t, np.int64).view(np.uint64) for t in f["tokens"]), percent, EXTRA_AGAIN), COMBINED)
+    alive = _passed(prefixes, alive, percent, EXTRA_AGAIN)
+
+    # 2. order by frequency among the classes left; prefixes; groups of identical prefix and size
+    left = sets.join(bounded(alive.select("class", "c", "copies")), "class")
+    each = left.select("c", F.explode_outer("tokens").alias("token"))
+    # a shingle that only one class has comes before all others and leads nowhere: only the number of these matters
     frequency = each.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    # a shingle that only one class has comes before all others, and leads nowhere: only its count matters
-    ordered = (
-        each.join(frequency, "token").groupBy("c", "size").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))
-    )
+    ordered = each.join(frequency, "token").groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o"))
+    ordered = ordered.join(alive.select("c", F.col("n_shingles").alias("size")), "c")
     length = f"cast(greatest(0, size - (size * {percent} + 99) div 100 + 1 - (size - size(o))) as int)"
     prefixes = ordered.select("c", "size", F.expr(f"transform(slice(o, 1, {length}), x -> x.token)").alias("prefix")).where(F.size("prefix") > 0)
     prefixes = cut(prefixes)
-    groups = prefixes.groupBy("size", "prefix").agg(F.min("c").alias("g"))
-    of_groups = cut(groups)
+    of_groups = cut(prefixes.groupBy("size", "prefix").agg(F.min("c").alias("g")))
     spread = of_groups.select("g", F.explode_outer("prefix").alias("token"))
     least = spread.groupBy("token").agg(F.min("g").alias("least"), F.count("*").alias("n")).where("n > 1")
     stars = spread.join(least, "token").where("g <> least").select(F.col("g").alias("a"), F.col("least").alias("b")).distinct()
     clusters = connected_components(stars)
     member = prefixes.join(of_groups, ["size", "prefix"]).join(clusters, F.col("g") == F.col("node"), "left")
     member = member.select("c", "size", "prefix", F.coalesce("label", "g").alias("cluster"))
-    counted = member.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
-    member = member.join(counted, "cluster")
-    full = sets.select(F.xxhash64("class").alias("c"), "class", "tokens")
-    work = cut(
-        member.join(full, "c")
-        .join(alive.select("class", "copies"), "class")
+    counted = cut(member.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1"))
+    member = cut(member.join(counted, "cluster"))
+
+    # 3. blocks
+    work = (
+        left.select("class", "c", "copies", "tokens").join(bounded(member), "c")
         .withColumn("chunk", F.pmod(F.xxhash64("class", F.lit(3)), F.ceil(F.col("n") / block)))
         .select("cluster", "n", "chunk", "class", "copies", "size", "prefix", "tokens")
     )
+    large = not at_most(counted.where(F.col("n") > block), 0)
+    if large:
+        work = cut(work)
     small = work.select(F.concat_ws("/", "cluster", "chunk").alias("block"), F.lit(2).alias("side"), F.lit(None).cast("binary").alias("known"), "class", "size", "prefix", "tokens")
-    big = cut(work.where(F.col("n") > block).select("cluster", "n", "class", "copies"))
-    if big.limit(1).count():
+    if large:
+        big = work.where(F.col("n") > block).select("cluster", "n", "class", "copies")
         # every block of a large cluster gets the cluster's hubs: its classes of most copies, and some at random
         hubs = big.groupBy("cluster", "n").agg(
             F.max_by("class", F.struct("copies", "class")).alias("h0"),
@@ -258,7 +295,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         hubs = hubs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("n") / block) - 1)))
         small = small.unionByName(hubs.select(F.concat_ws("/", "cluster", "chunk").alias("block"), F.lit(2).alias("side"), F.lit(None).cast("binary").alias("known"), "class", "size", "prefix", "tokens"))
     links = _run_blocks(small, percent)
-    if big.limit(1).count():
+    if large:
         links = links.unionByName(_across(work, big, links, percent, block))
     labels = connected_components(links)
     classes = classes.join(labels, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("label", "class").alias("label"))

@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, cut, partitions, prefix_hash, splitmix, window_hashes
+from .common import CHUNK, COMBINED, FLUSH_ROWS, combined, cut, partitions, prefix_hash, shared_keys, splitmix, window_hashes
 
 LENGTH, STRETCH = 200, 88
 #: Distinct contexts of one key that are gathered at most.
@@ -74,17 +74,8 @@ def runs_of(data: bytes, length: int = LENGTH, stretch: int = STRETCH) -> tuple[
     return keys, np.concatenate(first), np.concatenate(last), np.concatenate(often)
 
 
-#: Anchor rows that a task combines at a time.
-FLUSH_ROWS = 2_000_000
-
-
 def _anchors(length: int, stretch: int):
-    """(route, key, tkey, shared): the keys of each text's runs, once a text.
-
-    Rows are combined in the task: a key that two of its texts have is shared for certain, so only one of
-    its rows goes to the key's own place and the others, marked, are spread. Shared is also a key whose
-    stretch a text has more than once.
-    """
+    """The keys of each text's runs, once a text, as ``shared_keys`` takes them; shared is also a key whose stretch a text has more than once."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parts: list[tuple] = []
@@ -102,28 +93,14 @@ def _anchors(length: int, stretch: int):
                 parts.append((own, np.full(len(own), tkey, np.int64), again))
                 held += len(own)
                 if held > FLUSH_ROWS:
-                    yield from _combined(parts)
+                    yield from combined(parts)
                     parts, held, seen = [], 0, set()
         if parts:
-            yield from _combined(parts)
+            yield from combined(parts)
 
     return run
 
 
-def _combined(parts: list[tuple]) -> Iterator[pd.DataFrame]:
-    keys, tkeys, again = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys, tkeys, again = keys[order], tkeys[order], again[order]
-    same = np.zeros(len(keys), bool)  # as the row before
-    same[1:] = keys[1:] == keys[:-1]
-    met = same.copy()
-    met[:-1] |= same[1:]
-    route = np.where(same, splitmix(keys ^ splitmix(tkeys.view(np.uint64))), keys)
-    for at in range(0, len(keys), 100_000):
-        cut_ = slice(at, at + 100_000)
-        yield pd.DataFrame({"route": route[cut_].view(np.int64), "key": keys[cut_].view(np.int64), "tkey": tkeys[cut_], "shared": (again | met)[cut_]})
-
-
 def _contexts(length: int, stretch: int):
     """The runs of a text that its list of shared keys names, with their bytes."""
 
@@ -391,10 +368,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     marked = _marked(docs, id_col, text_col)
     texts = marked.where(F.col("n_bytes") >= length)
     copies = cut(texts.groupBy("tkey").agg(F.count("*").alias("copies"), F.min("uid").alias("uid")))
-    anchors = texts.select("tkey", "text").mapInPandas(_anchors(length, stretch), "route bigint, key bigint, tkey bigint, shared boolean")
-    same = Window.partitionBy("route")
-    told = anchors.withColumn("any", F.max("shared").over(same) | (F.min("tkey").over(same) != F.max("tkey").over(same)))
-    lists = told.where("any").groupBy("tkey").agg(F.collect_set("key").alias("shared"))
+    anchors = texts.select("tkey", "text").mapInPandas(_anchors(length, stretch), COMBINED)
+    lists = shared_keys(anchors).groupBy(F.col("owner").alias("tkey")).agg(F.collect_set("key").alias("shared"))
     # the one row that stands for all copies of a text
     lists = lists.join(copies, "tkey").select("uid", "shared", "copies")
     standing = cut(texts.select("uid", "text").join(lists, "uid"))
