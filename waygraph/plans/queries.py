@@ -1,6 +1,327 @@
-def queries():
-    return {}
+"""The registered queries over the derived road network, and their SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import geo, tags, text
+from ..operators import graph, ordering, routing, sampling, spatial, topology
+from ..runtime import cut
+from . import derived as D
+
+#: One-to-many: every so many-th customer asks (the query set of the routing queries).
+ASKING = 50
+
+
+def _parts(spark: SparkSession, sf_dir: str, small: bool = False) -> dict[str, DataFrame]:
+    ways, refs, nodes = D.network(spark, sf_dir, small)
+    roads = topology.roads(ways)
+    return {"ways": ways, "refs": refs, "nodes": nodes, "roads": roads, "usage": topology.node_usage(refs, roads)}
+
+
+def _steps(p: dict[str, DataFrame]) -> DataFrame:
+    return topology.steps(p["refs"], p["roads"], p["usage"], p["nodes"])
+
+
+def _edges(spark: SparkSession, sf_dir: str, small: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
+    p = _parts(spark, sf_dir, small)
+    return topology.dedup_edges(topology.arcs(topology.segments(_steps(p)), p["roads"])), p
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Numbered edges with their places: cut, as several steps read them."""
+    edges, p = _edges(spark, sf_dir)
+    return cut(spatial.with_lines(ordering.dense_index(edges, ["src", "dst"], "edge_id"), p["nodes"])), p
+
+
+def _kept(spark: SparkSession, sf_dir: str, small: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
+    edges, p = _edges(spark, sf_dir, small)
+    return cut(graph.retain_reachable(cut(edges))), p
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = D.derived(spark, sf_dir, D.REQUESTS)
+    return r.select(F.col("request_id").alias("point_id"), F.col("lat_a").cast("int").alias("lat_udeg"), F.col("lon_a").cast("int").alias("lon_udeg"))
+
+
+# --- tags, topology --------------------------------------------------------------------------------
+
+
+def level_totals(spark, sf_dir):
+    edges, _ = _edges(spark, sf_dir)
+    return edges.groupBy("road_level").agg(F.count("*").alias("n_edges"), F.sum("distance").alias("metres"))
+
+
+def road_level(spark, sf_dir):
+    return _parts(spark, sf_dir)["ways"].groupBy("highway", tags.road_level(F.col("highway")).alias("road_level")).agg(F.count("*").alias("n"))
+
+
+def barrier_nodes(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    return topology.used_nodes(p["nodes"], p["usage"]).where("barrier").select("id", "lat_udeg", "lon_udeg")
+
+
+def oneway_dirs(spark, sf_dir):
+    return _parts(spark, sf_dir)["roads"]
+
+
+def node_usage(spark, sf_dir):
+    return _parts(spark, sf_dir)["usage"]
+
+
+def junction_stats(spark, sf_dir):
+    return topology.junction_stats(_parts(spark, sf_dir)["usage"])
+
+
+def step_haversine(spark, sf_dir):
+    return _steps(_parts(spark, sf_dir)).select("way_id", "pos", "segment", "prev_node", "node_id", F.round("metres").cast("bigint").alias("metres"))
+
+
+def segments(spark, sf_dir):
+    return topology.segments(_steps(_parts(spark, sf_dir)))
+
+
+def blocked_segments(spark, sf_dir):
+    return topology.segments(_steps(_parts(spark, sf_dir))).where("blocked").select("way_id", "segment", "src", "dst")
+
+
+def arcs(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    return topology.arcs(topology.segments(_steps(p)), p["roads"])
+
+
+def edges_dedup(spark, sf_dir):
+    return _edges(spark, sf_dir)[0]
+
+
+def vertices(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    return topology.used_nodes(p["nodes"], p["usage"]).select("id", "lat_udeg", "lon_udeg", "barrier")
+
+
+def incomplete_ways(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    # nodes of every eleventh id are taken out, so that there is something to report
+    return topology.incomplete_ways(p["refs"], p["roads"], p["nodes"].where("id % 11 <> 0"))
+
+
+# --- graph -------------------------------------------------------------------------------------------
+
+
+def reachable_nodes(spark, sf_dir):
+    return graph.reachable_nodes(_edges(spark, sf_dir)[0])
+
+
+def weak_components(spark, sf_dir):
+    return graph.weak_components(_kept(spark, sf_dir, True)[0])
+
+
+def scc(spark, sf_dir):
+    return graph.strong_components(_kept(spark, sf_dir, True)[0])
+
+
+def dead_end_edges(spark, sf_dir):
+    return graph.dead_end_edges(_kept(spark, sf_dir, True)[0])
+
+
+def component_links(spark, sf_dir):
+    kept, p = _kept(spark, sf_dir, True)
+    return graph.component_links(kept, p["nodes"]).select("src", "dst", F.col("road_level").cast("int").alias("road_level"), "distance")
+
+
+def repaired_edges(spark, sf_dir):
+    kept, p = _kept(spark, sf_dir, True)
+    return graph.repair(kept, p["nodes"]).select("src", "dst", F.col("road_level").cast("int").alias("road_level"), "distance")
+
+
+# --- geometry ----------------------------------------------------------------------------------------
+
+
+def mercator(spark, sf_dir):
+    n = _parts(spark, sf_dir)["nodes"]
+    return n.select("id", F.round(geo.mercator_x(F.col("lon_udeg")), 2).alias("x"), F.round(geo.mercator_y(F.col("lat_udeg")), 2).alias("y"))
+
+
+def inverse_mercator(spark, sf_dir):
+    n = _parts(spark, sf_dir)["nodes"]
+    return n.select("id", geo.inverse_mercator_lat(geo.mercator_y(F.col("lat_udeg"))).alias("lat_udeg"), geo.inverse_mercator_lon(geo.mercator_x(F.col("lon_udeg"))).alias("lon_udeg"))
+
+
+def bbox_edges(spark, sf_dir):
+    edges, p = _edges(spark, sf_dir)
+    lines = spatial.with_lines(edges, p["nodes"])
+    return spatial.edges_in_boxes(lines, D.derived(spark, sf_dir, D.BOXES)).groupBy("box_id").agg(F.count("*").alias("n_edges"), F.sum("distance").alias("metres"))
+
+
+def edge_info(spark, sf_dir):
+    return _lines(spark, sf_dir)[0].select("edge_id", "src", "dst", "road_level", "distance", "lat1", "lon1", "lat2", "lon2")
+
+
+def nearest_edge(spark, sf_dir):
+    lines, _ = _lines(spark, sf_dir)
+    return spatial.project_points(_points(spark, sf_dir), lines).select("point_id", "edge_id")
+
+
+def projected_points(spark, sf_dir):
+    lines, _ = _lines(spark, sf_dir)
+    return spatial.project_points(_points(spark, sf_dir), lines).select("point_id", "edge_id", "proj_lat_udeg", "proj_lon_udeg", F.round(F.col("edge_pos").cast("double"), 3).alias("edge_pos"))
+
+
+# --- sampling ----------------------------------------------------------------------------------------
+
+BOX, MAX_EDGES = (-5187000.0, -2690000.0, -5130000.0, -2650000.0), 500
+
+
+def sample_edges(spark, sf_dir):
+    return sampling.sample_edges(_lines(spark, sf_dir)[0], BOX, MAX_EDGES).select("edge_id", "road_level")
+
+
+def sample_edges_sip(spark, sf_dir):
+    return sampling.by_level(sampling.sample_edges(_lines(spark, sf_dir)[0], BOX, MAX_EDGES, sip=True))
+
+
+def sample_priority_counts(spark, sf_dir):
+    edges, _ = _edges(spark, sf_dir)
+    return sampling.priority_budgets(edges.withColumn("priority", -F.col("road_level")), "priority", 20_000)
+
+
+def sample_nodes(spark, sf_dir):
+    return sampling.sample(_parts(spark, sf_dir)["usage"].select("node_id"), "node_id", 300)
+
+
+def drawn_lines(spark, sf_dir):
+    drawn = sampling.drawn_by_level(sampling.sample_edges(_lines(spark, sf_dir)[0], BOX, MAX_EDGES))
+    return drawn.select("road_level", F.size("x").alias("n_x"), F.size("y").alias("n_y"))
+
+
+# --- storage order -------------------------------------------------------------------------------------
+
+
+def dense_offset(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    return ordering.dense_index(p["usage"].select("node_id"), ["node_id"], "place")
+
+
+def index_remap(spark, sf_dir):
+    edges, p = _edges(spark, sf_dir)
+    return ordering.remap_for_storage(topology.used_nodes(p["nodes"], p["usage"]), edges)[1].select("src", "dst", "source", "target", "distance", "road_level")
+
+
+def delta_encode(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    used = topology.used_nodes(p["nodes"], p["usage"]).select("id", F.col("lat_udeg").cast("bigint").alias("lat_udeg"))
+    return ordering.delta_encode(used, "id", "lat_udeg").select("id", "delta")
+
+
+def delta_decode(spark, sf_dir):
+    p = _parts(spark, sf_dir)
+    used = topology.used_nodes(p["nodes"], p["usage"]).select("id", F.col("lat_udeg").cast("bigint").alias("lat_udeg"))
+    return ordering.delta_decode(ordering.delta_encode(used, "id", "lat_udeg"), "id", "delta").select("id", "value")
+
+
+# --- routing -------------------------------------------------------------------------------------------
+
+
+def _sources(spark: SparkSession, kept: DataFrame) -> DataFrame:
+    """The query set of the one-to-many queries: the five least nodes."""
+    return kept.select("src").distinct().orderBy("src").limit(5).select(F.col("src").alias("start"))
+
+
+def shortest_distance(spark, sf_dir):
+    kept, _ = _kept(spark, sf_dir)
+    nodes = graph_nodes(kept)
+    return routing.many_to_many(kept, _sources(spark, kept), nodes.select(F.col("node_id").alias("goal"))).where("distance is not null")
+
+
+def graph_nodes(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+
+
+def distance_matrix(spark, sf_dir):
+    kept, _ = _kept(spark, sf_dir)
+    goals = graph_nodes(kept).where(f"node_id % {ASKING} = 0").select(F.col("node_id").alias("goal"))
+    return routing.many_to_many(kept, _sources(spark, kept), goals, unreachable=0)
+
+
+def shortest_path_points(spark, sf_dir):
+    """Lengths of the legs of the paths and their sums: what is the same for all shortest paths of a pair."""
+    kept, _ = _kept(spark, sf_dir)
+    goals = graph_nodes(kept).where(f"node_id % {ASKING} = 0").select(F.col("node_id").alias("goal"))
+    pairs = _sources(spark, kept).crossJoin(goals).withColumn("query_id", F.xxhash64("start", "goal"))
+    paths = cut(routing.shortest_paths(kept, pairs).where("distance is not null"))
+    hops = paths.select("start", "goal", "distance", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path")).alias("b"))).alias("h"))
+    own = kept.select(F.col("src").alias("ha"), F.col("dst").alias("hb"), F.col("distance").alias("w"))
+    walked = hops.join(own, (F.col("h.a") == F.col("ha")) & (F.col("h.b") == F.col("hb"))).groupBy("start", "goal", "distance").agg(F.sum("w").alias("walked"))
+    zero = paths.where("size(path) = 1").select("start", "goal", "distance", F.lit(0).cast("bigint").alias("walked"))
+    return walked.unionByName(zero)
+
+
+def route_json(spark, sf_dir):
+    edges, p = _edges(spark, sf_dir)
+    edges = cut(edges)
+    repaired = cut(graph.repair(cut(graph.retain_reachable(edges)), p["nodes"]))
+    lines = cut(spatial.with_lines(ordering.dense_index(repaired, ["src", "dst"], "edge_id"), p["nodes"]))
+    asked = D.derived(spark, sf_dir, D.REQUESTS).where(f"request_id % {ASKING} = 0")
+    points = F.array(*[F.struct(F.col(f"lat_{k}").cast("int").alias("lat_udeg"), F.col(f"lon_{k}").cast("int").alias("lon_udeg")) for k in "ab"])
+    return routing.route(asked.select("request_id", text.format_coordinates(points).alias("coordinates")), lines, p["nodes"])
+
+
+# --- texts -----------------------------------------------------------------------------------------------
+
+
+def _request_points(spark, sf_dir):
+    points = F.array(*[F.struct(F.col(f"lat_{k}").cast("int").alias("lat_udeg"), F.col(f"lon_{k}").cast("int").alias("lon_udeg")) for k in "ab"])
+    return D.derived(spark, sf_dir, D.REQUESTS).select("request_id", points.alias("points"))
+
+
+def coords_format(spark, sf_dir):
+    return _request_points(spark, sf_dir).select("request_id", text.format_coordinates(F.col("points")).alias("coordinates"))
+
+
+def coords_parse(spark, sf_dir):
+    c = coords_format(spark, sf_dir).select("request_id", text.parse_coordinates(F.col("coordinates")).alias("c"))
+    return c.select("request_id", F.posexplode("c.points").alias("seq", "p")).select("request_id", F.col("seq").cast("bigint").alias("seq"), "p.lat_udeg", "p.lon_udeg")
+
+
+_BROKEN = """case s_suppkey % 7
+  when 0 then '13.5,52.5' when 1 then '13.5;13.4,52.5' when 2 then '13.5,52.5,17;13.4,52.5' when 3 then '13.5,banana;13.4,52.5'
+  when 4 then '1300.5,52.5;13.4,52.5' when 5 then '13.5,5200.25;13.4,52.5' else '13.5,52.5;13.4,52.5' end"""
+
+
+def coords_errors(spark, sf_dir):
+    asked = D.table(spark, sf_dir, "supplier").select("s_suppkey", F.expr(_BROKEN).alias("coordinates"))
+    return asked.select("s_suppkey", "coordinates", text.parse_coordinates(F.col("coordinates"))["error"].alias("error"))
+
+
+def polyline(spark, sf_dir):
+    return _request_points(spark, sf_dir).select("request_id", text.polyline(F.col("points")).alias("polyline"))
+
+
+def fmt_bytes(spark, sf_dir):
+    n = (F.col("o_orderkey") * F.col("o_custkey") * F.col("o_orderkey") % 5000000000).alias("n")
+    return D.table(spark, sf_dir, "orders").select("o_orderkey", n).select("o_orderkey", text.format_bytes(F.col("n")).alias("size"))
+
+
+def fmt_num(spark, sf_dir):
+    n = (F.col("o_orderkey") * F.col("o_custkey") % 5000000).alias("n")
+    return D.table(spark, sf_dir, "orders").select("o_orderkey", n).select("o_orderkey", text.format_count(F.col("n")).alias("count"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    found = (
+        level_totals, road_level, barrier_nodes, oneway_dirs, node_usage, junction_stats, step_haversine, segments, blocked_segments, arcs,
+        edges_dedup, vertices, incomplete_ways, reachable_nodes, weak_components, scc, dead_end_edges, component_links, repaired_edges,
+        mercator, inverse_mercator, bbox_edges, edge_info, nearest_edge, projected_points, sample_edges, sample_edges_sip, sample_priority_counts,
+        sample_nodes, drawn_lines, dense_offset, index_remap, delta_encode, delta_decode, shortest_distance, distance_matrix,
+        shortest_path_points, route_json, coords_format, coords_parse, coords_errors, polyline, fmt_bytes, fmt_num,
+    )
+    return {f.__name__: f for f in found}
+
+
+def oracle_sql() -> dict[str, str]:
+    from .oracles import ORACLES
+
+    return ORACLES
