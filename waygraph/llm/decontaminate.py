@@ -16,7 +16,7 @@ one item; rows without an id are not reported; an empty table gives no pairs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded, cut
@@ -25,10 +25,6 @@ WORDS, SHARE = 5, 80  # shingle length; percent of an item's shingles
 NON_WORD = r"[^\p{L}\p{N}]+"
 
 
-def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), NON_WORD), lambda w: w != "")
-
-
 def _shingled(df: DataFrame, id_col: str, text_col: str, as_text: bool, keep: list[str] | None = None) -> DataFrame:
     """(id, keep..., sh): sh holds the shingles of a row, as hashes or as text; null for a row under five words.
 
@@ -38,8 +34,12 @@ def _shingled(df: DataFrame, id_col: str, text_col: str, as_text: bool, keep: li
     """
     keep = keep or []
     join = (lambda a, b: F.concat_ws(" ", a, b)) if as_text else (lambda a, b: F.xxhash64(a, b))
-    out = df.select(F.col(f"`{id_col}`").alias("id"), *keep, _words(F.col(f"`{text_col}`")).alias("w"))
-    out = out.select("id", *keep, (F.col("w") if as_text else F.transform("w", lambda w: F.xxhash64(w))).alias("w"), F.size("w").alias("n"))
+    out = df.select(F.col(f"`{id_col}`").alias("id"), *keep, F.split(F.lower(F.col(f"`{text_col}`")), NON_WORD).alias("w"))
+    # a text that starts or ends with no word has an empty part there, and only there
+    first = F.when(F.get("w", F.lit(0)) == "", 2).otherwise(1)
+    size = F.size("w") - first + 1 - F.when(F.element_at("w", -1) == "", 1).otherwise(0)
+    out = out.select("id", *keep, F.slice("w", first, F.greatest(size, F.lit(0))).alias("w"))
+    out = out.select("id", *keep, "w", F.size("w").alias("n"))
     upto = lambda k: F.greatest(F.col("n") - k, F.lit(0))
     two = F.zip_with(F.slice("w", 1, upto(1)), F.slice("w", 2, upto(1)), join)
     out = out.select("id", *keep, "w", "n", two.alias("w2"))
