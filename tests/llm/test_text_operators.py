@@ -1,0 +1,239 @@
+"""Operators that handle each row by itself: HTML, fingerprints, sharding, chats, languages, tokens."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from waygraph.llm import chat_quotes, fingerprint, html_extract, langid, sentencepiece_codec, sharding, token_counts
+from waygraph.llm.common import default_tokenizer_path
+
+sentencepiece = pytest.importorskip("sentencepiece")
+tokenizers = pytest.importorskip("tokenizers")
+ODD = st.lists(st.sampled_from(list("ab éß\n\t!1'▁日🙂\x00 \x85") + ["the ", " of", "tion", "  ", "<|endoftext|>", "<0x0A>", "<s>"]), max_size=30).map("".join)
+
+
+def docs(spark, rows, more=""):
+    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint" + more)
+
+
+# --- HTML
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>
+<header><h1>Site</h1></header><nav><ul><li><a href=a>Home</a></li></ul></nav><!-- <p>no</p> --><div class="ad">Buy the best of it now and for all</div>
+<article><h1>Title &amp; more</h1><p><b>First   line &lt;of&gt;<br> the text.<p>Second&nbsp;one</p><form><p>Mail</p></form><aside>See also the other one</aside><p>Ok.</p>
+<div class="comments"><p>I like it very much and so do all of us</p></div></article><div id="cookie-notice"><p>We use cookies</p></div><footer>&copy; us</footer>"""
+
+
+def test_article_alone():
+    assert html_extract.main_text(PAGE)[0] == "Title & more\nFirst line <of> the text.\nSecond one\nOk."
+
+
+def test_pages_without_an_article_go_by_density_and_neighbours():
+    long = "This is what they had to say of it and of all that was in the house when he came to her for it. " * 3
+    menu = "".join(f"<li><a href=x>Topic number {k}</a></li>" for k in range(9))
+    page = f"<ul>{menu}</ul><h2>Heading</h2><p>{long}</p><p>Short.</p><p>{long}</p><div>zx qv jkw " + "kqx zzv " * 30 + "</div>"
+    assert html_extract.main_text(page)[0].split("\n") == ["Heading", long.strip(), "Short.", long.strip()]
+
+
+def test_broken_pages(spark):
+    rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>a < b &amp;&bogus; c"), (4, "u", "<p class='x>unclosed</p><p>b</p>"), (4, "u", "<div"), (5, "u", "no tags"), (6, "u", "<p>x</p>" * 5000)]
+    got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == 7 and {r.page_id: r.text for r in got if r.page_id < 4} == {1: "", 2: "", 3: "a < b &&bogus; c"}
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert html_extract.extract_pages(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+# --- fingerprints
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text("ab", max_size=60), st.text("ab", max_size=60), st.integers(0, 50), st.integers(0, 50))
+def test_spans_and_extensions(x, y, i, j):
+    a, b = fingerprint.PrefixHashes(x), fingerprint.PrefixHashes(y)
+    i, j = min(i, len(x)), min(j, len(y))
+    n = 0
+    while i + n < len(x) and j + n < len(y) and x[i + n] == y[j + n]:
+        n += 1
+    assert a.extension(b, i, j) == n
+    m = 0
+    while m < min(i, j) and x[i - m - 1] == y[j - m - 1]:
+        m += 1
+    assert a.back_extension(b, i, j) == m
+
+
+def test_fingerprints_of_neighbours(spark):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abcdefgh éß ") for _ in range(n))
+    rows = [(k * 3, t, None, None, 0) for k, t in enumerate([text(900), None, "", text(40), "x", *[text(500) for _ in range(40)]])]
+    rows.append(rows[7])
+    got = {r.doc_id: r for r in fingerprint.fingerprint_neighbours(docs(spark, rows)).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    assert len(got) == len(rows) - 1
+    for (d, t, *_), (_, u, *_) in zip(ordered, ordered[1:] + ordered[:1]):
+        t, u, r = t or "", u or "", got[d]
+        e = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
+        if d != rows[7][0]:
+            assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+            assert r.fingerprint == fingerprint.fingerprint_text(t) and r.edited_fingerprint == fingerprint.fingerprint_text(e)
+            assert 0 <= r.near_next <= 1 and r.lce_edited >= len(t) - len(t) // 2
+            if len(t) >= 500:
+                assert 0.25 < r.near_edited < 0.75 and r.near_next < 0.3
+    assert fingerprint.likeness(fingerprint.fingerprint_text("a"), fingerprint.fingerprint_text("a")) == 1
+    assert fingerprint.fingerprint_neighbours(docs(spark, [])).count() == 0
+    alone = fingerprint.fingerprint_neighbours(docs(spark, [(1, "abcd", None, None, 4)])).collect()
+    assert len(alone) == 1 and alone[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
+
+
+# --- sharding
+
+
+def test_shards_are_even_and_mixed(spark):
+    rows = [(k, f"text {k % 50}" if k % 7 else None, None, "hot" if k % 3 else f"s{k % 4}" if k % 2 else None, 0) for k in range(1003)]
+    got = sharding.shard_documents(docs(spark, rows, ""), 16).collect()
+    assert sorted(r.doc_id for r in got) == list(range(1003))
+    sizes = Counter(r.shard for r in got)
+    assert set(sizes) == set(range(16)) and max(sizes.values()) - min(sizes.values()) <= 1
+    for s in range(16):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sizes[s]))
+    by_source = Counter((r.source, r.shard) for r in got)
+    for source, n in Counter(r.source for r in got).items():
+        assert all(abs(by_source[source, s] - n / 16) <= 2 for s in range(16))
+    for r in got:
+        t = (rows[r.doc_id][1] or "").encode()
+        assert (r.size, r.text_crc32) == (len(t) + 1, zlib.crc32(t))
+    again = sharding.shard_documents(docs(spark, rows[::-1]), 16).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == {r.doc_id: (r.shard, r.slot) for r in again}
+    few = sharding.shard_documents(docs(spark, rows[:3]), 16).collect()
+    assert sorted(r.slot for r in few) == [0, 0, 0] and sharding.shard_documents(docs(spark, []), 16).count() == 0
+
+
+# --- chats
+
+TALK = [
+    (1, 0, "user", "Hello there.\nHow is it  going?"),
+    (1, 1, "assistant", "> How is it going?\nFine."),
+    (1, 2, "user", "Ann wrote:\n> > how is it going?\n> Fine.\nGood."),
+    (1, 3, "user", "> hello there\nNew branch."),
+    (1, 4, "user", ">unknown words\nLost."),
+    (2, 0, "user", "Fine."),
+    (2, 1, "user", None),
+    (2, 1, "user", None),
+    (None, 0, "user", "> Fine."),
+]
+
+
+def test_quotes_are_linked_and_left_out(spark):
+    df = spark.createDataFrame(TALK, "conv_id bigint, turn bigint, role string, text string")
+    got = chat_quotes.reply_ordered(df).collect()
+    assert len(got) == len(TALK)
+    one = {r.turn: r for r in got if r.conv_id == 1}
+    assert {t: (r.parent_turn, r.root_turn, r.depth) for t, r in one.items()} == {0: (None, 0, 0), 1: (0, 0, 1), 2: (1, 0, 2), 3: (0, 0, 1), 4: (None, 4, 0)}
+    assert [t for t, _ in sorted(one.items(), key=lambda x: x[1].reply_pos)] == [0, 1, 3, 2, 4]
+    assert [one[t].text for t in range(5)] == ["Hello there.\nHow is it  going?", "Fine.", "Good.", "New branch.", "Lost."]
+    assert (one[2].n_quotes, one[2].n_linked, one[4].n_quotes, one[4].n_linked) == (2, 2, 1, 0)
+    chats = {r.conv_id: [m.text for m in r.messages] for r in chat_quotes.conversations(chat_quotes.reply_ordered(df)).collect()}
+    assert chats[2] == ["Fine.", "", ""] and chats[1][2] == "New branch."
+    assert chat_quotes.reply_ordered(df.limit(0)).count() == 0
+
+
+def test_parsing_levels():
+    assert chat_quotes.parse_levels("a\n> b\n>> c\n> > d\n  > e\n\n") == [(0, "a"), (1, "b"), (2, "c"), (2, "d"), (1, "e"), (0, "")]
+    assert chat_quotes.parse_levels(None) == []
+
+
+# --- languages
+
+WORDS = {"en": "the of and to in that was with this have from they".split(), "de": "der die und das nicht ein ist von zu mit sich auf".split(), "fr": "le la les des est que pour dans une qui pas avec".split()}
+
+
+def test_languages(spark):
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice(WORDS[lang]) for _ in range(rng.randrange(5, 60))), lang, None, 0) for k, lang in enumerate(list(WORDS) * 60)]
+    model = langid.train(docs(spark, rows[:150] + [(900, None, "en", None, 0), (901, "x", None, None, 0)]))
+    odd = [(1000, None), (1001, ""), (1002, "12 !!"), (1003, "zqxj kwvz qqzx jjvk xzzq " * 5), (1004, "Это русский текст, и его никто не учил"), (1005, "the of and " * 200_000)]
+    got = {r.doc_id: r for r in langid.identify(docs(spark, rows[150:] + [(d, t, None, None, 0) for d, t in odd]), model).collect()}
+    assert all(got[r[0]].lang_pred == r[2] and not got[r[0]].rejected and 0 <= got[r[0]].score <= 1 for r in rows[150:])
+    assert all(got[d].lang_pred == "und" and got[d].score == 0 and got[d].rejected for d in (1000, 1001, 1002))
+    assert got[1003].rejected and got[1004].rejected and got[1004].lang_pred in WORDS
+    assert got[1005].lang_pred == "en" and not got[1005].rejected
+
+
+def test_probabilities_sum_to_one():
+    rng = random.Random(5)
+    counts = langid.ngram_counts(("en", " ".join(rng.choice(WORDS["en"]) for _ in range(50))) for _ in range(5))
+    model = langid.fit(counts, ["en"])
+    keys = langid._matrix_keys(langid.np.arange(len(model.letters) + 2).reshape(-1, 1))
+    rows = model.find(keys)
+    assert (rows >= 0).all() and abs(langid.np.exp(model.logp[rows, 0].astype(float)).sum() - 1) < 1e-3
+
+
+# --- tokens
+
+
+@settings(max_examples=150, deadline=None)
+@given(ODD)
+def test_sentencepiece_as_the_library(text):
+    path = default_tokenizer_path(sentencepiece_codec.MODEL)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.codec(path)
+    ids = library.encode(text)
+    e = own.encode(text)
+    assert e.ids == ids and own.decode(ids) == library.decode(ids)
+    assert own.digest(text)[:3] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+    at = 0
+    for begin, end in e.spans:
+        assert begin == at and end >= begin
+        at = end
+    assert at == (len(text.encode()) if ids else 0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(ODD)
+def test_counts_as_the_library(text):
+    path = default_tokenizer_path(token_counts.VOCABULARY)
+    if not hasattr(test_counts_as_the_library, "library"):
+        test_counts_as_the_library.library = tokenizers.Tokenizer.from_file(path)
+    assert token_counts.counts(path).count(text) == len(test_counts_as_the_library.library.encode(text, add_special_tokens=False).ids)
+
+
+def test_token_queries(spark):
+    rows = [(1, None, None, None, 0), (2, "", None, None, 0), (3, "a" * 300_000, None, None, 0), (4, "the end", None, None, 0), (4, "the end", None, None, 0)]
+    got = sorted(sentencepiece_codec.digest_documents(docs(spark, rows), ["doc_id"]).collect())
+    assert [r.n_tokens for r in got][:2] == [0, 0] and got[3] == got[4]
+    counted = sorted(token_counts.count_tokens(docs(spark, rows)).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())
+    assert [tuple(r) for r in counted[:2]] == [(1, 0, 0, False), (2, 0, 0, False)] and counted[2].over_limit and counted[3].n_tokens == 2
+    back = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(docs(spark, rows)))
+    assert all(r.decoded == (r.text or "") for r in back.collect())
+    assert sentencepiece_codec.digest_documents(docs(spark, []), ["doc_id"]).count() == 0
+
+
+def test_character_map_takes_the_longest_prefix():
+    """A double array made by hand: keys 'a' -> 'x' and 'ab' -> 'yz'."""
+    import struct
+
+    pool = b"x\0yz\0"
+    units = [0] * 1024
+    # root at 0 with offset 1; a node's unit has its offset above bit 10, a leaf flag at bit 8 and its label below
+    off = lambda o: o << 10
+    units[0] = off(1)
+    a = 1 ^ ord("a")
+    base_a = 512
+    units[a] = off(a ^ base_a) | (1 << 8) | ord("a")
+    units[base_a] = (1 << 31) | 0
+    b = base_a ^ ord("b")
+    base_b = 768
+    units[b] = off(b ^ base_b) | (1 << 8) | ord("b")
+    units[base_b] = (1 << 31) | 2
+    blob = struct.pack("<I", 4 * len(units)) + struct.pack(f"<{len(units)}I", *units) + pool
+    m = sentencepiece_codec.CharacterMap(blob)
+    assert m.longest(b"abc", 0) == (2, b"yz") and m.longest(b"ac", 0) == (1, b"x") and m.longest(b"c", 0) is None
+
+
+def test_crc_split_of_languages(spark):
+    df = spark.range(20).select(F.crc32(F.col("id").cast("string").cast("binary")).alias("c"))
+    assert [r.c for r in df.collect()] == [zlib.crc32(str(k).encode()) for k in range(20)]
