@@ -364,7 +364,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 #: Rejected is what lies further out than this many times the widest excess of the calibration, and further than MARGIN nats a letter.
-SLACK, MARGIN = 1.5, 0.6
+SLACK, MARGIN = 2.0, 1.25
 
 
 def predict_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
@@ -378,7 +378,7 @@ def predict_texts(model: Model, texts: list[str | None]) -> list[tuple[str, floa
         k = int(np.argmin(h))
         score = 1.0 / float(np.exp(-(h - h[k]) * min(n, 40)).sum())
         mean, spread, widest = model.limits[k]
-        limit = mean + max(MARGIN, 6 * spread, SLACK * widest / np.sqrt(n))
+        limit = mean + max(MARGIN, 8 * spread, SLACK * widest / np.sqrt(n))
         out.append((model.langs[k], round(score, 6), float(h[k]), bool(h[k] > limit)))
     return out
 
