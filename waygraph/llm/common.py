@@ -170,7 +170,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
 # --- which keys have more than one owner ---------------------------------------------------------
 
 #: Rows that a task combines at a time, and their schema.
-FLUSH_ROWS = 2_000_000
+FLUSH_ROWS = 500_000
 COMBINED = "route bigint, key bigint, owner bigint, shared boolean"
 
 

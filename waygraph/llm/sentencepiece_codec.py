@@ -27,7 +27,7 @@ from .common import default_tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_UNITS = 250_000
+CACHE_UNITS = 100_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 

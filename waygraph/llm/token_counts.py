@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import default_tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.json"
-CACHE = 400_000
+CACHE = 200_000
 #: How byte-level vocabularies cut texts before the merges (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
