@@ -224,5 +224,5 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
     ranged = slim.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     done = cut(ranged.mapInPandas(_within, f"{_OUT}, pid bigint, last boolean, text string"))
     ends = done.where("pid is not null").select("doc_id", "text", "pid", "last")
-    ends = ends.coalesce(1).sortWithinPartitions("pid", "last").mapInPandas(_between, _OUT)
+    ends = ends.repartition(1).sortWithinPartitions("pid", "last").mapInPandas(_between, _OUT)
     return done.where("pid is null").select(*_COLUMNS).unionByName(ends)
