@@ -39,7 +39,7 @@ from .common import COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, group
 from .components import connected_components
 
 #: Percent of a set that the screening prefixes have beyond what a plain prefix has, in the two rounds.
-EXTRA, EXTRA_AGAIN = 5, 30
+EXTRA, EXTRA_AGAIN = 10, 30
 #: Classes in a block.
 BLOCK = 400
 HUBS = 4
