@@ -62,9 +62,6 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in names})
 
 
-def network(spark: SparkSession, sf_dir: str, small: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(ways, refs, nodes); ``small`` keeps the ways whose id ends in 0, a network with many components."""
-    ways, refs = derived(spark, sf_dir, WAYS), derived(spark, sf_dir, REFS)
-    if small:
-        ways, refs = ways.where("way_id % 10 = 0"), refs.where("way_id % 10 = 0")
-    return ways, refs, derived(spark, sf_dir, NODES)
+def network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ways, refs, nodes)."""
+    return derived(spark, sf_dir, WAYS), derived(spark, sf_dir, REFS), derived(spark, sf_dir, NODES)

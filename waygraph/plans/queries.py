@@ -16,8 +16,8 @@ from . import derived as D
 ASKING = 50
 
 
-def _parts(spark: SparkSession, sf_dir: str, small: bool = False) -> dict[str, DataFrame]:
-    ways, refs, nodes = D.network(spark, sf_dir, small)
+def _parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    ways, refs, nodes = D.network(spark, sf_dir)
     roads = topology.roads(ways)
     return {"ways": ways, "refs": refs, "nodes": nodes, "roads": roads, "usage": topology.node_usage(refs, roads)}
 
@@ -26,8 +26,8 @@ def _steps(p: dict[str, DataFrame]) -> DataFrame:
     return topology.steps(p["refs"], p["roads"], p["usage"], p["nodes"])
 
 
-def _edges(spark: SparkSession, sf_dir: str, small: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
-    p = _parts(spark, sf_dir, small)
+def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    p = _parts(spark, sf_dir)
     return topology.dedup_edges(topology.arcs(topology.segments(_steps(p)), p["roads"])), p
 
 
@@ -37,8 +37,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataF
     return cut(spatial.with_lines(ordering.dense_index(edges, ["src", "dst"], "edge_id"), p["nodes"])), p
 
 
-def _kept(spark: SparkSession, sf_dir: str, small: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
-    edges, p = _edges(spark, sf_dir, small)
+def _kept(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    edges, p = _edges(spark, sf_dir)
     return cut(graph.retain_reachable(cut(edges))), p
 
 
@@ -116,24 +116,24 @@ def reachable_nodes(spark, sf_dir):
 
 
 def weak_components(spark, sf_dir):
-    return graph.weak_components(_kept(spark, sf_dir, True)[0])
+    return graph.weak_components(_kept(spark, sf_dir)[0])
 
 
 def scc(spark, sf_dir):
-    return graph.strong_components(_kept(spark, sf_dir, True)[0])
+    return graph.strong_components(_kept(spark, sf_dir)[0])
 
 
 def dead_end_edges(spark, sf_dir):
-    return graph.dead_end_edges(_kept(spark, sf_dir, True)[0])
+    return graph.dead_end_edges(_kept(spark, sf_dir)[0])
 
 
 def component_links(spark, sf_dir):
-    kept, p = _kept(spark, sf_dir, True)
+    kept, p = _kept(spark, sf_dir)
     return graph.component_links(kept, p["nodes"]).select("src", "dst", F.col("road_level").cast("int").alias("road_level"), "distance")
 
 
 def repaired_edges(spark, sf_dir):
-    kept, p = _kept(spark, sf_dir, True)
+    kept, p = _kept(spark, sf_dir)
     return graph.repair(kept, p["nodes"]).select("src", "dst", F.col("road_level").cast("int").alias("road_level"), "distance")
 
 
