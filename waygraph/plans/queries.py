@@ -12,7 +12,7 @@ from ..operators import graph, ordering, routing, sampling, spatial, topology
 from ..runtime import cut
 from . import derived as D
 
-#: One-to-many: every so many-th customer asks (the query set of the routing queries).
+#: The query set of the routing queries: requests and origins whose id is divisible by it.
 ASKING = 50
 
 
@@ -225,15 +225,18 @@ def delta_decode(spark, sf_dir):
 # --- routing -------------------------------------------------------------------------------------------
 
 
-def _sources(spark: SparkSession, kept: DataFrame) -> DataFrame:
-    """The query set of the one-to-many queries: the five least nodes."""
-    return kept.select("src").distinct().orderBy("src").limit(5).select(F.col("src").alias("start"))
+def _sources(kept: DataFrame) -> DataFrame:
+    """The query set of the one-to-many queries: it grows with the graph."""
+    return graph_nodes(kept).where(f"node_id % {ASKING} = 0").select(F.col("node_id").alias("start"))
+
+
+def _goals(kept: DataFrame) -> DataFrame:
+    return graph_nodes(kept).select(F.col("node_id").alias("goal"))
 
 
 def shortest_distance(spark, sf_dir):
     kept, _ = _kept(spark, sf_dir)
-    nodes = graph_nodes(kept)
-    return routing.many_to_many(kept, _sources(spark, kept), nodes.select(F.col("node_id").alias("goal"))).where("distance is not null")
+    return routing.many_to_many(kept, _sources(kept), _goals(kept)).where("distance is not null")
 
 
 def graph_nodes(edges: DataFrame) -> DataFrame:
@@ -242,15 +245,13 @@ def graph_nodes(edges: DataFrame) -> DataFrame:
 
 def distance_matrix(spark, sf_dir):
     kept, _ = _kept(spark, sf_dir)
-    goals = graph_nodes(kept).where(f"node_id % {ASKING} = 0").select(F.col("node_id").alias("goal"))
-    return routing.many_to_many(kept, _sources(spark, kept), goals, unreachable=0)
+    return routing.many_to_many(kept, _sources(kept), _goals(kept), unreachable=0)
 
 
 def shortest_path_points(spark, sf_dir):
     """Lengths of the legs of the paths and their sums: what is the same for all shortest paths of a pair."""
     kept, _ = _kept(spark, sf_dir)
-    goals = graph_nodes(kept).where(f"node_id % {ASKING} = 0").select(F.col("node_id").alias("goal"))
-    pairs = _sources(spark, kept).crossJoin(goals).withColumn("query_id", F.xxhash64("start", "goal"))
+    pairs = _sources(kept).crossJoin(_goals(kept)).withColumn("query_id", F.xxhash64("start", "goal"))
     paths = cut(routing.shortest_paths(kept, pairs).where("distance is not null"))
     hops = paths.select("start", "goal", "distance", F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path")).alias("b"))).alias("h"))
     own = kept.select(F.col("src").alias("ha"), F.col("dst").alias("hb"), F.col("distance").alias("w"))
