@@ -41,6 +41,16 @@ def test_pages_without_an_article_go_by_density_and_neighbours():
     assert html_extract.main_text(page)[0].split("\n") == ["Heading", long.strip(), "Short.", long.strip()]
 
 
+STORY = "This is what they had to say of it and of all that was in the house when he came to her for it. "
+
+
+def test_density_and_neighbours_count_within_an_article():
+    links = "<p>Related: <a href=x>How the other one was made</a></p><p>3 min</p><p><a href=y>All the topics of this week</a></p>"
+    page = f"<article><h1><a href=t>Title</a></h1><p>By <a href=z>Some Author</a></p><p>{STORY}</p><p>Short.</p><h2>Part</h2><p>x = 1</p><p>{STORY}</p><h3>More</h3>{links}</article>"
+    assert html_extract.main_text(page)[0].split("\n") == ["Title", STORY.strip(), "Short.", "Part", "x = 1", STORY.strip()]
+    assert html_extract.main_text("<article><p>One.</p><p><a href=x>Link to it</a></p><p>Two.</p></article>")[0] == "One.\nTwo."
+
+
 def test_broken_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>a < b &amp;&bogus; c"), (4, "u", "<p class='x>unclosed</p><p>b</p>"), (4, "u", "<div"), (5, "u", "no tags"), (6, "u", "<p>x</p>" * 5000)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()

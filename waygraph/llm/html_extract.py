@@ -202,18 +202,16 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
     """Labels each block good or bad."""
     usable = [b for b in blocks if not b.out]
     container = max((b.inside for b in usable), default=0)
+    within = []
     for b in blocks:
         density = b.link_chars / max(1, len(b.text))
         if b.out or b.inside < container:
             b.label = "bad"
-        elif container:
-            # within an article only lists of links are out; what is short and open is left to pass two
-            if density > rules.max_link_density and b.tag in ("li", "td", "th", "dd", "dt", "ul", "ol"):
-                b.label = "bad"
-            else:
-                b.label = "good" if len(b.text) >= rules.short or stop_density(b.text) >= rules.stop_low else "open"
-        elif density > rules.max_link_density:
-            b.label = "bad"
+            continue
+        if container:
+            within.append(b)
+        if density > rules.max_link_density:
+            b.label = "open" if container and b.tag in HEADINGS else "bad"
         elif len(b.text) < rules.short:
             b.label = "open"
         else:
@@ -221,31 +219,63 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
             if stops >= rules.stop_high:
                 b.label = "good"
             elif stops >= rules.stop_low:
-                b.label = "good" if len(b.text) > rules.long else "open"
+                b.label = "good" if container or len(b.text) > rules.long else "open"
             else:
-                b.label = "bad"
-    decided = [k for k, b in enumerate(blocks) if b.label != "open"]
+                b.label = "open" if container else "bad"
+    if container:
+        _inherit_within(within)
+    else:
+        _inherit(blocks)
+
+
+def _neighbours(blocks: list[Block]) -> list[tuple[int | None, int | None]]:
+    """The nearest decided blocks before and after each."""
     before, left = [], None
     for k, b in enumerate(blocks):
         before.append(left)
         if b.label != "open":
             left = k
-    right, labels = None, {}
+    after, right = [], None
     for k in range(len(blocks) - 1, -1, -1):
-        b = blocks[k]
-        if b.label != "open":
+        after.append(right)
+        if blocks[k].label != "open":
             right = k
+    return list(zip(before, after[::-1]))
+
+
+def _inherit_within(blocks: list[Block]) -> None:
+    """Pass two in an article, which speaks for its blocks: open ones are bad only between two bad ones, headings
+    only over nothing but bad ones. What stands outside of the article says nothing about them."""
+    told = any(b.label == "good" for b in blocks)
+    body = [b for b in blocks if b.tag not in HEADINGS or b.label != "open"]
+    labels = ["bad" if told and None not in near and {body[j].label for j in near} == {"bad"} else "good" for near in _neighbours(body)]
+    for b, label in zip(body, labels):
+        if b.label == "open":
+            b.label = label
+    good = some = False
+    for b in reversed(blocks):
+        if b.tag not in HEADINGS:
+            good, some = good or b.label == "good", True
+        else:
+            if b.label == "open":
+                b.label = "bad" if told and some and not good and b.tag != "h1" else "good"
+            good = some = False
+
+
+def _inherit(blocks: list[Block]) -> None:
+    """Pass two in a page without an article: open blocks take the label of the nearest decided one."""
+    near = _neighbours(blocks)
+    labels = {}
+    for k, b in enumerate(blocks):
+        if b.label != "open":
             continue
-        near = [j for j in (before[k], right) if j is not None and not (container and blocks[j].label == "bad")]
-        if container:  # neighbours outside the article say nothing about what is in it
-            labels[k] = "good"
-        elif not decided:
+        decided = [j for j in near[k] if j is not None]
+        if not decided:
             labels[k] = "good" if stop_density(b.text) > 0 else "bad"
-        elif b.tag in HEADINGS and right is not None:
-            labels[k] = blocks[right].label
+        elif b.tag in HEADINGS and near[k][1] is not None:
+            labels[k] = blocks[near[k][1]].label
         else:
-            j = min(near, key=lambda j: (abs(j - k), blocks[j].label != "good"))
-            labels[k] = blocks[j].label
+            labels[k] = blocks[min(decided, key=lambda j: (abs(j - k), blocks[j].label != "good"))].label
     for k, label in labels.items():
         blocks[k].label = label
 
