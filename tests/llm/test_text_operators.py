@@ -51,6 +51,22 @@ def test_density_and_neighbours_count_within_an_article():
     assert html_extract.main_text("<article><p>One.</p><p><a href=x>Link to it</a></p><p>Two.</p></article>")[0] == "One.\nTwo."
 
 
+def test_class_words_forms_and_cards_do_not_lose_the_story():
+    story = "".join(f"<p>{STORY}{k}</p>" for k in range(4))
+    want = [f"{STORY}{k}" for k in range(4)]
+    lines = lambda page: html_extract.main_text(page)[0].split("\n")
+    for wrapper in ("div class='has-sidebar'", "div id=content-sidebar-wrap", "form action=x"):
+        page = f"<{wrapper}><article>{story}</article><div class=sidebar><p>{STORY}</p></div></{wrapper.split()[0]}>"
+        assert lines(page) == want, wrapper
+    for tag in ("main", "div"):
+        assert [x for x in lines(f"<{tag}>{story}<article><p>A card of its own.</p></article></{tag}>") if x in want] == want
+    talk = "".join(f"<p>{STORY * 2}</p>" for k in range(9))
+    assert lines(f"<article>{story}</article><div class=comments>{talk}</div>") == want
+    assert lines(f"<div class=ad>{STORY}</div><article><h1>Short story</h1>{'<p>A short line of it.</p>' * 9}</article>") == ["Short story"] + ["A short line of it."] * 9
+    finnish = "Kaupungin vanhimmat rakennukset sijaitsevat joen rannalla, missä kauppiaat aikoinaan purkivat laivojensa lastit varastoihin. "
+    assert lines(f"<ul><li><a href=x>Etusivu</a></li></ul><div>{finnish}</div><div>{finnish * 2}</div>") == [finnish.strip(), (finnish * 2).strip()]
+
+
 def test_broken_pages(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", "<p>a < b &amp;&bogus; c"), (4, "u", "<p class='x>unclosed</p><p>b</p>"), (4, "u", "<div"), (5, "u", "no tags"), (6, "u", "<p>x</p>" * 5000)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()

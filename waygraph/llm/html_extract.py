@@ -1,9 +1,10 @@
 """Main text of HTML pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides blocks by where they stand
-(menus, page headers, footers, sidebars, notices, adverts, forms and reader comments are out), by
-link density, by length and by stop-word density. Short blocks that this leaves open then inherit the label of the
-nearest decided neighbours in the second pass.
+(menus, page headers, footers and sidebars are out; so are notices, adverts, forms and reader comments by their class words,
+unless they hold most of the page's text), by link density, by length and by stop-word density. Short blocks that this
+leaves open then inherit the label of the nearest decided neighbours in the second pass. An article speaks for its blocks
+where it holds most of the text.
 
 Defined results: null or empty html gives an empty text; a page without a closing tag, with stray
 '<' or with unclosed quotes is read as far as it goes; equal rows give equal rows; columns of any
@@ -38,15 +39,17 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never part of an article.
-OUT_TAGS = frozenset("nav footer aside form button select dialog menu object audio video canvas map search".split())
-OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form toolbar".split())
-#: Parts of class and id values that mark what is not the article.
+OUT_TAGS = frozenset("nav footer aside button select dialog menu object audio video canvas map search".split())
+OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Parts of class and id values that mark what is not the article, unless most of the page's text lies in it.
 OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted sidebar side menu nav"
     " navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe"
     " subscription signup login share sharing social related recommended comment comments commentlist disqus replies respond footer"
     " masthead widget pagination pager toolbar skip topbar copyright disclaimer paywall".split()
 )
+#: Readers' texts may be longer than the article: marked by these, an element needs a title or the article in it to count as the page.
+READER_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
 _NAME_PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -72,44 +75,59 @@ class Rules:
     stop_high: float = 0.30
 
 
+@dataclass
+class Doubt:
+    """An element that is out by a class word or as a form, if it does not hold most of the page's text."""
+
+    readers: bool
+    titled: bool = False  # holds a title or the article
+    weight: int = 0
+
+
 @dataclass
 class Block:
     tag: str
     out: bool  # by its place in the page
     inside: int  # 2 in an article, 1 in the main part, 0 elsewhere
+    doubts: tuple[Doubt, ...] = ()  # the elements around it that a class word or a form speaks against
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
     label: str = ""
 
 
-def _is_out(name: str, attrs: str, inside: int) -> bool:
+def _is_out(name: str, attrs: str, inside: int) -> tuple[bool, Doubt | None]:
+    """Whether an element is out for certain, and the doubt that its name or class raises."""
     if name in OUT_TAGS or name == "header" and not inside:
-        return True
+        return True, None
+    doubt = Doubt(False) if name == "form" else None
     if not attrs or attrs.isspace():
-        return False
+        return False, doubt
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            if not OUT_WORDS.isdisjoint(_NAME_PART.findall(_CAMEL.sub(" ", value).lower())) and name not in ("html", "body", "article", "main"):
-                return True
-            if name == "article" and not {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"}.isdisjoint(_NAME_PART.findall(value.lower())):
-                return True
+            parts = _NAME_PART.findall(_CAMEL.sub(" ", value).lower())
+            if name not in ("html", "body", "article", "main") and not OUT_WORDS.isdisjoint(parts) or (
+                name == "article" and not {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"}.isdisjoint(parts)
+            ):
+                doubt = Doubt(not READER_WORDS.isdisjoint(parts) or doubt is not None and doubt.readers)
         elif key == "role":
             if value.lower() in OUT_ROLES:
-                return True
+                return True, None
+            if value.lower() == "form":
+                doubt = doubt or Doubt(False)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, None
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, None
+    return False, doubt
 
 
 def blocks_of(page: str) -> list[Block]:
     """The non-empty blocks of a page, in page order."""
     found: list[Block] = []
-    # open elements: name, whether it is out, how far inside, whether its start made it out
-    stack: list[tuple[str, bool, int]] = []
+    # open elements: name, whether it is out, how far inside, the doubts around it
+    stack: list[tuple[str, bool, int, tuple[Doubt, ...]]] = []
     block: Block | None = None
     links = breaks = at = 0
 
@@ -126,9 +144,8 @@ def blocks_of(page: str) -> list[Block]:
         if block is None:
             if text.isspace():
                 return
-            tag = next((n for n, _, _ in reversed(stack) if n in BLOCK), "body")
-            out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
-            block = Block(tag, out, inside)
+            tag = next((n for n, *_ in reversed(stack) if n in BLOCK), "body")
+            block = Block(tag, *(stack[-1][1:] if stack else (False, 0, ())))
         if not text.isspace():
             breaks = 0
         block.parts.append(text)
@@ -150,7 +167,7 @@ def blocks_of(page: str) -> list[Block]:
                 end()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    links -= sum(n == "a" for n, _, _ in stack[k:])
+                    links -= sum(n == "a" for n, *_ in stack[k:])
                     del stack[k:]
                     break
             continue
@@ -163,7 +180,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in BLOCK:
             end()
-            while stack and (stack[-1][0] == "p" or stack[-1][0] in ("a", "b", "i", "em", "strong", "span", "u", "font") and any(n == "p" for n, _, _ in stack[-6:])) and name not in ("option",):
+            while stack and (stack[-1][0] == "p" or stack[-1][0] in ("a", "b", "i", "em", "strong", "span", "u", "font") and any(n == "p" for n, *_ in stack[-6:])) and name not in ("option",):
                 links -= stack[-1][0] == "a"
                 stack.pop()
             if name == "li" and stack and stack[-1][0] == "li":
@@ -172,14 +189,19 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in VOID or attrs.endswith("/") and name not in BLOCK and name != "a":
             continue
-        out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        out, inside, doubts = stack[-1][1:] if stack else (False, 0, ())
+        if name in ("h1", "article", "main"):
+            for d in doubts:
+                d.titled = True
         if not out:
-            out = _is_out(name, attrs, inside)
+            out, doubt = _is_out(name, attrs, inside)
+            if doubt:
+                doubts = (*doubts, doubt)
         if name == "article":
             inside = 2
         elif name == "main" or "main" in attrs and re.search(r"role\s*=\s*[\"']?main", attrs, re.I):
             inside = max(inside, 1)
-        stack.append((name, out, inside))
+        stack.append((name, out, inside, doubts))
         links += name == "a"
     if at < len(page):
         put(page[at:])
@@ -198,30 +220,56 @@ def stop_density(text: str) -> float:
     return max(sum(w in s for w in words) for s in _STOPS.values()) / len(words) if words else 0.0
 
 
+def _density(b: Block) -> float:
+    return b.link_chars / max(1, len(b.text))
+
+
+def _settle(blocks: list[Block], rules: Rules) -> int:
+    """Puts out what doubts speak against and gives the container's level: neither a class word, nor a form, nor a
+    container may speak against most of the page's text with few links (a little more on a page of few words is not a story)."""
+    likely = [(b, len(b.text)) for b in blocks if not b.out and _density(b) <= rules.max_link_density]
+    total = sum(n for _, n in likely)
+    for b, n in likely:
+        for d in b.doubts:
+            d.weight += n
+    for b in blocks:
+        b.out = b.out or any(2 * d.weight <= total or d.weight <= rules.long and d.weight < total or d.readers and not d.titled for d in b.doubts)
+    likely = [(b, n) for b, n in likely if not b.out]
+    total = sum(n for _, n in likely)
+    levels = {b.inside for b in blocks if not b.out}
+    held = {k: sum(n for b, n in likely if b.inside >= k) for k in (2, 1)}
+    return next((k for k in (2, 1) if any(x >= k for x in levels) and (2 * held[k] >= total or total - held[k] <= rules.long)), 0)
+
+
 def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
     """Labels each block good or bad."""
+    container = _settle(blocks, rules)
     usable = [b for b in blocks if not b.out]
-    container = max((b.inside for b in usable), default=0)
+    stops = {id(b): stop_density(b.text) for b in usable if len(b.text) >= rules.short and _density(b) <= rules.max_link_density}
+    long = sum(len(b.text) for b in usable if id(b) in stops)
+    # a language without a list of stop words: only length and links count
+    unlisted = sum(stops[id(b)] * len(b.text) for b in usable if id(b) in stops) < rules.stop_low * long
     within = []
     for b in blocks:
-        density = b.link_chars / max(1, len(b.text))
-        if b.out or b.inside < container:
+        inner = bool(container) and b.inside >= container
+        if b.out:
             b.label = "bad"
             continue
-        if container:
+        if inner:
             within.append(b)
-        if density > rules.max_link_density:
-            b.label = "open" if container and b.tag in HEADINGS else "bad"
+        elif container:  # beside the article only what is text beyond doubt
+            b.label = "good" if len(b.text) > rules.long and id(b) in stops and (unlisted or stops[id(b)] >= rules.stop_high) else "bad"
+            continue
+        if _density(b) > rules.max_link_density:
+            b.label = "open" if inner and b.tag in HEADINGS else "bad"
         elif len(b.text) < rules.short:
             b.label = "open"
+        elif unlisted or stops[id(b)] >= rules.stop_high:
+            b.label = "good"
+        elif stops[id(b)] >= rules.stop_low:
+            b.label = "good" if inner or len(b.text) > rules.long else "open"
         else:
-            stops = stop_density(b.text)
-            if stops >= rules.stop_high:
-                b.label = "good"
-            elif stops >= rules.stop_low:
-                b.label = "good" if container or len(b.text) > rules.long else "open"
-            else:
-                b.label = "open" if container else "bad"
+            b.label = "open" if inner else "bad"
     if container:
         _inherit_within(within)
     else:
