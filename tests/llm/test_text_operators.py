@@ -168,6 +168,26 @@ def test_quotes_are_linked_and_left_out(spark):
     assert chat_quotes.reply_ordered(df.limit(0)).count() == 0
 
 
+def test_quotes_of_another_width_and_out_of_a_paragraph_are_linked(spark):
+    first = "The museum opens at nine on weekdays and closes late on Fridays. Tickets are sold at the door, or online for a little less."
+    second = "We should go there on a Friday evening then, after the shops have closed and the crowds have left."
+    rows = [
+        (1, 0, "user", first),
+        (1, 1, "assistant", "An answer without a quote.\nno marks here\nnor there"),
+        (1, 2, "user", second),
+        (1, 3, "assistant", "> The museum opens at nine on\n> weekdays and closes late\n> on Fridays. Tickets are sold at the\n> door, or online for a little less.\nThanks."),
+        (1, 4, "user", "> Tickets are sold at the door, or online for a little less.\nGood."),
+        (1, 5, "user", "> go there on a Friday evening then, after\n> the shops have closed and\nYes."),
+        (1, 6, "user", "> no marks here\n> nor there\nOk."),
+        (1, 7, "user", "> nor there\nOk."),
+        (1, 8, "user", "> Something that nobody here has ever said at all.\nNo."),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.turn: r for r in chat_quotes.reply_ordered(df).collect()}
+    assert {t: r.parent_turn for t, r in got.items()} == {0: None, 1: None, 2: None, 3: 0, 4: 0, 5: 2, 6: 1, 7: 1, 8: None}
+    assert (got[3].n_quotes, got[3].n_linked, got[3].text) == (2, 2, "Thanks.")
+
+
 def test_parsing_levels():
     assert chat_quotes.parse_levels("a\n> b\n>> c\n> > d\n  > e\n\n") == [(0, "a"), (1, "b"), (2, "c"), (2, "d"), (1, "e"), (0, "")]
     assert chat_quotes.parse_levels(None) == []

@@ -1,19 +1,22 @@
 """Quotation linking: chats without quotes, in reply order.
 
-The lines of a message have a quote level, the count of '>' before them. Each quoted line is
-normalised and hashed and joined to the lines that earlier messages of the same conversation said
-themselves; a message replies to the one from which most of its quoted characters of level 1 come.
+The lines of a message have a quote level, the count of '>' before them. Neighbouring lines of one level are
+a passage, joined with single spaces, so that it does not matter where its lines end. Each sentence of a quoted passage is
+normalised and hashed and joined to the sentences that earlier messages of the same conversation said themselves; a
+sentence that none said as a whole is linked by its lines and windows of ``WINDOW`` words, if the message said at
+least half of them. A message replies to the one from which most of its quoted characters of level 1 come.
 Messages keep what they say themselves and are placed so that each follows the one it replies to.
 
 Defined results: a null or empty text is a message without words and without quotes; a quote that
 no earlier message said stays unlinked and is left out of the text all the same; if several earlier
-messages said a line, the latest counts; equal counts go to the later message. A null conv_id or turn
+messages said a sentence, the latest counts; less than ``WINDOW`` words out of the middle of a sentence stay unlinked; equal counts go to the later message. A null conv_id or turn
 joins with nothing. Repeated rows stay repeated. No row is dropped.
 """
 
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -24,7 +27,10 @@ from .common import cut
 _LEVEL = re.compile(r"\s{0,3}((?:>\s?)+)")
 _ATTRIBUTION = re.compile(r"(wrote|writes|said|a écrit|schrieb|escribió)\s*:\s*$", re.I)
 _SPACES = re.compile(r"\s+")
-_PARTS = "own string, said array<string>, quoted array<struct<level:int,line:string>>"
+_END = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+")
+_PARTS = "own string, quoted array<struct<level:int,unit:bigint,n_chars:int,parts:array<bigint>>>"
+#: Words of a window: quoted ones lie side by side, said ones begin at each word.
+WINDOW = 5
 
 
 def normalise(line: str) -> str:
@@ -41,53 +47,126 @@ def parse_levels(text: str | None) -> list[tuple[int, str]]:
     return lines
 
 
-def split_message(text: str | None) -> tuple[str, list[str], list[tuple[int, str]]]:
-    """What a message says itself, its own normalised lines, and the quoted ones with their level."""
+def passages(lines: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
+    """(level, its lines) of each run of lines of one level; empty lines end a passage."""
+    found: list[tuple[int, list[str]]] = []
+    last = None
+    for level, line in lines:
+        if line.strip():
+            if level != last:
+                found.append((level, []))
+            found[-1][1].append(line)
+        last = level if line.strip() else None
+    return found
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def _words(text: str) -> list[str]:
+    return [w for x in text.split() if (w := normalise(x))]
+
+
+def _windows(words: list[str], step: int) -> list[int]:
+    """Hashes of the windows that begin at every ``step``-th word, and of the last one."""
+    if len(words) < WINDOW:
+        return []
+    starts = {*range(0, len(words) - WINDOW + 1, step), len(words) - WINDOW}
+    return [_hash("\n".join(words[k : k + WINDOW])) for k in sorted(starts)]
+
+
+def _sentences(lines: list[str]) -> list[str]:
+    return [n for x in _END.split(" ".join(x.strip() for x in lines)) if (n := normalise(x))]
+
+
+def said_pieces(own: str | None) -> list[int]:
+    """Hashes of the sentences, lines and word windows of a message's own text."""
+    found = set()
+    for _, lines in passages([(0, x) for x in (own or "").splitlines()]):
+        found.update(_hash(x) for x in _sentences(lines))
+        found.update(_hash(n) for x in lines if (n := normalise(x)))
+        found.update(_windows(_words(" ".join(lines)), 1))
+    return sorted(found)
+
+
+def quoted_units(level: int, lines: list[str]) -> list[tuple[int, int, int, list[int]]]:
+    """(level, hash, characters, hashes of its parts) of each sentence of a quoted passage.
+
+    Parts are the lines that lie wholly in it, if there are several, and its word windows.
+    """
+    whole = [n for x in lines if (n := normalise(x))]
+    found = []
+    for unit in _sentences(lines):
+        parts = [_hash(x) for x in whole if len(whole) > 1 and x in unit] + _windows(_words(unit), WINDOW)
+        found.append((level, _hash(unit), len(unit), sorted(set(parts))))
+    return found
+
+
+def split_message(text: str | None) -> tuple[str, list[tuple[int, int, int, list[int]]]]:
+    """What a message says itself, and the sentences it quotes."""
     lines = parse_levels(text)
-    own, quoted = [], []
+    own, kept, quotes = [], [], False
     for k, (level, line) in enumerate(lines):
         following = next((lv for lv, x in lines[k + 1 :] if x.strip()), 0) if _ATTRIBUTION.search(line) else level
         if following > level:  # "... wrote:" before a quote
+            kept.append((level, ""))
             continue
-        if level:
-            if n := normalise(line):
-                quoted.append((level, n))
-        else:
+        kept.append((level, line))
+        quotes = quotes or level > 0 and normalise(line) != ""
+        if not level:
             own.append(line)
-    kept = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if quoted else (text or "")
-    return kept, list(dict.fromkeys(n for x in own if (n := normalise(x)))), list(dict.fromkeys(quoted))
+    units = {u[:2]: u for level, run in passages(kept) if level for u in quoted_units(level, run)}
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if quotes else (text or ""), list(units.values())
 
 
 def _split(column: str) -> Column:
     @F.pandas_udf(_PARTS)
     def split(texts: pd.Series) -> pd.DataFrame:
         rows = [split_message(t) for t in texts]
-        return pd.DataFrame({"own": [r[0] for r in rows], "said": [r[1] for r in rows], "quoted": [[{"level": lv, "line": x} for lv, x in r[2]] for r in rows]})
+        names = ("level", "unit", "n_chars", "parts")
+        return pd.DataFrame({"own": [r[0] for r in rows], "quoted": [[dict(zip(names, u)) for u in r[1]] for r in rows]})
 
     return split(column)
 
 
+def _said(column: str) -> Column:
+    @F.pandas_udf("array<bigint>")
+    def said(own: pd.Series) -> pd.Series:
+        return own.map(said_pieces)
+
+    return said(column)
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, line_hash, n_chars, source_turn): each quoted line with the turn it comes from, null if none."""
-    parsed = messages.select("conv_id", "turn", _split("text").alias("p"))
+    """(conv_id, turn, level, line_hash, n_chars, source_turn): each quoted sentence with the turn it comes from, null if none."""
+    parsed = cut(messages.select("conv_id", "turn", _split("text").alias("p")))
     return _links(parsed)
 
 
 def _links(parsed: DataFrame) -> DataFrame:
-    quotes = parsed.select("conv_id", "turn", F.explode("p.quoted").alias("q")).select(
-        "conv_id", "turn", F.xxhash64("q.line", F.length("q.line")).alias("line_hash"), F.col("q.level").alias("level"), F.length("q.line").alias("n_chars")
-    )
-    wanted = quotes.select("conv_id", "line_hash").distinct()
-    said = parsed.select("conv_id", "turn", F.explode("p.said").alias("line")).select("conv_id", "turn", F.xxhash64("line", F.length("line")).alias("line_hash"))
-    # one row a line and turn, then the latest earlier turn by a running maximum: linear, whatever the repeats
-    said = said.join(wanted, ["conv_id", "line_hash"], "left_semi").distinct()
-    both = quotes.unionByName(said, allowMissingColumns=True)
-    earlier = Window.partitionBy("conv_id", "line_hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    return (
-        both.withColumn("source_turn", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(earlier))
-        .where("level is not null")
-        .select("conv_id", "turn", "level", "line_hash", "n_chars", "source_turn")
+    # a row number, as equal rows stay apart
+    quotes = cut(
+        parsed.where("size(p.quoted) > 0")
+        .withColumn("row", F.monotonically_increasing_id())
+        .select("conv_id", "turn", "row", F.explode("p.quoted").alias("q"))
+        .select("conv_id", "turn", "row", F.col("q.level").alias("level"), F.col("q.unit").alias("line_hash"), F.col("q.n_chars").alias("n_chars"), "q.parts")
     )
+    unit = ["conv_id", "turn", "row", "level", "line_hash", "n_chars"]
+    keys = quotes.select(*unit, F.size("parts").alias("n_parts"), F.explode(F.concat(F.array("line_hash"), "parts")).alias("key"))
+    keys = keys.withColumn("exact", F.col("key") == F.col("line_hash"))
+    wanted = keys.select("conv_id", "key").distinct()
+    quoting = quotes.select("conv_id").distinct()
+    said = parsed.join(quoting, "conv_id", "left_semi").select("conv_id", "turn", F.explode(_said("p.own")).alias("key"))
+    # one row a piece and turn, then the latest earlier turn by a running maximum: linear, whatever the repeats
+    said = said.join(wanted, ["conv_id", "key"], "left_semi").distinct()
+    both = keys.unionByName(said, allowMissingColumns=True)
+    earlier = Window.partitionBy("conv_id", "key").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    traced = both.withColumn("source_turn", F.max(F.when(F.col("level").isNull(), F.col("turn"))).over(earlier)).where("level is not null")
+    votes = traced.groupBy(*unit, "n_parts", "exact", "source_turn").agg(F.count("*").alias("n"))
+    fits = F.col("source_turn").isNotNull() & (F.col("exact") | (2 * F.col("n") >= F.col("n_parts")))
+    best = votes.groupBy(*unit).agg(F.max(F.when(fits, F.struct("exact", "n", "source_turn")))["source_turn"].alias("source_turn"))
+    return best.select("conv_id", "turn", "level", "line_hash", "n_chars", "source_turn")
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
