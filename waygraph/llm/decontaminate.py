@@ -69,7 +69,8 @@ def find_contained(
     # search: any hash of an item's sketch in a document that is large enough
     probes = _shingled(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, as_text=False)
     probes = probes.select("id", F.size("sh").alias("n"), F.explode_outer("sh").alias("h"))
-    found = probes.join(bounded(sketch), "h").where("n >= need")
+    # coalesce: a plain comparison lets the optimiser infer "n is not null", push it down and inline the shingles there
+    found = probes.join(bounded(sketch), "h").where("coalesce(n, 0) >= need")
     candidates = cut(found.select(F.col("id").alias("doc_id"), "item_id").distinct())
 
     # verification: the shingles as text, of candidate documents only
