@@ -99,6 +99,40 @@ def test_repeats_by_brute_force(spark, hot, block_bytes):
     assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(removed(texts, 40)))
 
 
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"hot_bytes": 60}, {"block_bytes": 1}])
+def test_any_byte_may_occur(spark, options):
+    """NUL bytes: a text that holds the end of one text, a NUL and the start of another repeats neither."""
+    rng = random.Random(5)
+    part = lambda n: "".join(rng.choice("ab\0\x01\ufffd") for _ in range(n))
+    core = part(60)
+    texts = [part(30) + core, core + part(30), part(45) + core + part(45)]
+    texts += [texts[0][-25:] + "\0" + texts[1][:25], "\0" * 90, "\0" * 39, core[:20] + "\0" + core[:20], core[-39:] + "\0", "\0" + core[:39]]
+    texts += [part(rng.randrange(80)) + rng.choice([core, core[:45], core[20:]]) + part(rng.randrange(50)) for _ in range(30)]
+    got = substring_dedup.remove_repeats(docs(spark, texts), length=40, stretch=17, **options).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(removed(texts, 40)))
+    cut = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs(spark, texts), length=40, stretch=17, **options).collect()}
+    for k, text in enumerate(texts):
+        b = text.encode()
+        spans = substring_dedup.merge_spans([(i, i + 40) for i in range(len(b) - 39) if sum(t.encode().count(b[i : i + 40]) for t in texts) > 1 or b.count(b[i : i + 40]) > 1 or b.find(b[i : i + 40], b.find(b[i : i + 40]) + 1) >= 0])
+        assert cut[k] == "".join(x.decode("utf-8", "ignore") for x in substring_dedup.kept_parts(b, spans))
+
+
+def test_halves_of_two_characters_make_no_third():
+    data = "\u00e9xx\u00e8".encode()
+    assert [x.decode("utf-8", "ignore") for x in substring_dedup.kept_parts(data, [(1, 5)])] == ["", ""]
+    block = [b"B" * 30 + b"\0" * 2, b"C" * 40, b"B" * 20 + b"\0" + b"C" * 20]
+    assert not any(f.any() for f in substring_dedup.repeats_in_block([block[0][:32], b"C" * 20 + b"D" * 20, block[2]], [1, 1, 1], 40))
+
+
+def test_without_repeats_keeps_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "x" * 300, 7, "a"), (2, "y", None, "b"), (2, "y", None, "b")], "doc_id bigint, text string, n_chars int, sha string")
+    rows = rows.withColumnsRenamed({}).selectExpr("*", "sha as kept", "n_chars as rid", "1 as whole", "2 as uid")
+    got = substring_dedup.without_repeats(rows)
+    assert got.schema["n_chars"].dataType == rows.schema["n_chars"].dataType and got.columns == rows.columns
+    assert sorted((r.doc_id, r.text, r.sha, r.kept, r.whole, r.uid) for r in got.collect()) == [(1, "", "a", "a", 1, 2), (2, "y", "b", "b", 1, 2), (2, "y", "b", "b", 1, 2)]
+    assert substring_dedup.remove_repeats(rows).columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
+
 def test_repeats_across_pieces(monkeypatch):
     monkeypatch.setattr(substring_dedup, "CHUNK", 64)
     rng = random.Random(1)

@@ -3,21 +3,24 @@
 1. Anchors. A window of LENGTH bytes has as its key the least hash of the stretches of ``STRETCH`` bytes in it.
    Equal windows have equal keys, and neighbouring windows mostly share one: a run of windows with
    one key is one row. Runs whose key no other text has can't repeat, and leave; most do.
-2. Contexts. A run that is left is sent, with its bytes, to the other runs of its key. Identical contexts
-   are counted, not kept twice.
+2. Contexts. A run that is left is sent, with its bytes, to the other runs of its key. Of identical contexts
+   one goes on, marked as repeated; the places of the others are settled, in the task that reads them where it has both.
 3. Interval expansion. The contexts of many keys make a block. From its suffix array comes its
    Burrows-Wheeler transform; intervals of it are extended backwards, breadth first, so that common prefix lengths
    are found by increasing value; the search stops at LENGTH. Neighbours in suffix order that have no length by
-   then share LENGTH bytes or more: their windows repeat. A key of more than ``HOT`` distinct contexts
-   is not gathered in memory: its windows are counted by 128-bit hash, combined before the shuffle.
+   then share LENGTH bytes or more: their windows repeat. Contexts end with a symbol that is no byte, so that
+   nothing matches over a border. A key whose distinct contexts are too many (``HOT``) or too long (``HOT_BYTES``) to be
+   gathered is counted instead, window by window, by 128-bit BLAKE2b hashes of the windows' bytes.
 4. Removal. The covered bytes of each text are joined into spans and cut out.
 
-Copies of whole texts are found by hash first; one of them stands for all in steps 2 and 3, and all
-of them go whole (if they have LENGTH bytes), as each one's windows start in another.
+Copies of whole texts are found by SHA-256 first; one of them stands for all in steps 2 and 3, and all
+of them go whole (if they have LENGTH bytes), as each one's windows start in another. That a key has owners of
+two texts is told by 64 bits: two texts that shared them (and a passage that no third text has) would keep that passage.
 
 Defined results: a null text counts as empty; shorter texts than LENGTH keep all; matches don't cross
-documents; long texts are read in overlapping pieces; rows that share a doc_id and a text are copies
-like any others; empty tables give empty tables.
+documents; any byte may occur in a text, NUL too; long texts are read in overlapping pieces; rows that share a doc_id and a text are copies
+like any others; empty tables give empty tables. Other columns don't matter, whatever their names:
+``remove_repeats`` leaves them out, ``without_repeats`` keeps them.
 """
 
 from __future__ import annotations
@@ -27,14 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, COMBINED, FLUSH_ROWS, combined, cut, partitions, prefix_hash, shared_keys, splitmix, window_hashes
+from .common import CHUNK, COMBINED, FLUSH_ROWS, combined, cut, partitions, prefix_hash, shared_keys, window_hashes
 
 LENGTH, STRETCH = 200, 88
-#: Distinct contexts of one key that are gathered at most.
-HOT = 4_000
+#: Distinct contexts of one key that are gathered at most, and their bytes.
+HOT, HOT_BYTES = 4_000, 2 << 20
 #: Bytes of a block, about.
 BLOCK_BYTES = 1 << 20
 
@@ -101,25 +104,42 @@ def _anchors(length: int, stretch: int):
     return run
 
 
-def _contexts(length: int, stretch: int):
-    """The runs of a text that its list of shared keys names, with their bytes."""
+_CONTEXTS = "key bigint, uid bigint, first bigint, size bigint, again boolean, context binary"
+
+
+def _contexts(length: int, stretch: int, flush_bytes: int = 8_000_000):
+    """The runs of a text that its list of shared keys names, with their bytes.
+
+    Runs that the task has seen with the same key and bytes go without them, under a key of their own: they repeat
+    for certain, as does the one that goes on, marked. However frequent a run, its key gets a row a flush.
+    """
+
+    def frame_of(held: dict, settled: list[tuple]) -> pd.DataFrame:
+        rows = [(key, uid, first, len(context), again, context) for (key, context), (uid, first, again) in held.items()]
+        return pd.DataFrame(rows + settled, columns=["key", "uid", "first", "size", "again", "context"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple[int, bytes], tuple[int, int, bool]] = {}
+        settled: list[tuple] = []
+        n_bytes = 0
         for frame in frames:
-            rows: list[tuple] = []
-            held = 0
             for uid, text, shared in zip(frame["uid"], frame["text"], frame["shared"]):
                 data = text.encode("utf-8", "surrogatepass")
                 keys, first, last, _ = runs_of(data, length, stretch)
                 for k in np.flatnonzero(np.isin(keys, np.asarray(shared, np.int64).view(np.uint64))):
-                    context = data[first[k] : last[k] + length]
-                    rows.append((int(keys[k : k + 1].view(np.int64)[0]), uid, int(first[k]), context))
-                    held += len(context)
-                    if held > 8_000_000:
-                        yield pd.DataFrame(rows, columns=["key", "uid", "first", "context"])
-                        rows, held = [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "uid", "first", "context"])
+                    context, at = data[first[k] : last[k] + length], int(first[k])
+                    own = (int(keys[k : k + 1].view(np.int64)[0]), context)
+                    if (known := held.get(own)) is None:
+                        held[own] = (uid, at, False)
+                        n_bytes += len(context)
+                    else:
+                        held[own] = (*known[:2], True)
+                        settled.append((uid + at, uid, at, len(context), True, None))
+                    if n_bytes > flush_bytes or len(settled) > FLUSH_ROWS:
+                        yield frame_of(held, settled)
+                        held, settled, n_bytes = {}, [], 0
+        if held:
+            yield frame_of(held, settled)
 
     return run
 
@@ -130,13 +150,13 @@ def _contexts(length: int, stretch: int):
 def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes in order of their first ``depth`` bytes at least; equal ones in any order.
 
-    Prefix doubling from eight bytes on; each round sorts only the suffixes whose place is still open.
+    Symbols are below 512. Prefix doubling from seven of them on; each round sorts only the suffixes whose place is still open.
     """
     n = len(data)
-    padded = np.concatenate([data.astype(np.uint64), np.zeros(8, np.uint64)])
+    padded = np.concatenate([data.astype(np.uint64), np.zeros(7, np.uint64)])
     key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | padded[j : n + j]
+    for j in range(7):
+        key = (key << np.uint64(9)) | padded[j : n + j]
     order = np.argsort(key)
     s = key[order]
     fresh = np.ones(n, bool)
@@ -144,7 +164,7 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     begin = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # where each row's group begins
     rank = np.zeros(2 * n + 8 * depth, np.int64)  # past the end: less than all
     rank[order] = begin + 1
-    have = 8
+    have = 7
     while have < depth:
         alone = fresh & np.append(fresh[1:], True)
         rows = np.flatnonzero(~alone)
@@ -198,7 +218,7 @@ def repeated_suffixes(data: np.ndarray, depth: int) -> np.ndarray:
             rows = np.arange(len(which)) - np.repeat(np.cumsum(f_size) - f_size, f_size) + f_lo[which]
             # within an interval, the rows of one byte go to neighbouring places
             to, byte = forth[rows], bwt[rows].astype(np.int64)
-            key = (which << 8) | byte
+            key = (which << 9) | byte
             if (key[1:] < key[:-1]).any():
                 by = np.argsort(key, kind="stable")
                 key, to = key[by], to[by]
@@ -229,8 +249,9 @@ def repeated_suffixes(data: np.ndarray, depth: int) -> np.ndarray:
 
 def repeats_in_block(contexts: list[bytes], times: list[int], length: int = LENGTH) -> list[np.ndarray]:
     """For each context: which of its windows start elsewhere, too; ``times`` is how often the context itself occurs."""
-    joined = b"\0".join(contexts) + b"\0"
-    found = repeated_suffixes(np.frombuffer(joined, np.uint8), length)
+    joined = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.uint16)
+    joined[np.cumsum([len(c) + 1 for c in contexts]) - 1] = 256  # a border is no byte
+    found = repeated_suffixes(joined, length)
     out, at = [], 0
     for context, n in zip(contexts, times):
         windows = len(context) - length + 1
@@ -247,71 +268,94 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _FOUND = ["uid", "begin", "end", "first", "high", "low"]
 
 
-def _expand(length: int, block_bytes: int, hot: int):
-    """Found ranges (uid, begin, end: bytes covered) or, for hot keys, windows to be counted (uid, first, high, low)."""
+def _digests(context: bytes, length: int) -> np.ndarray:
+    """A row (high, low) for each window: 128 bits of BLAKE2b."""
+    made = [hashlib.blake2b(context[k : k + length], digest_size=16).digest() for k in range(len(context) - length + 1)]
+    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
+
+
+def _expand(length: int, block_bytes: int, hot: int, hot_bytes: int):
+    """Found ranges (uid, begin, end: bytes covered) or, for hot keys, windows to be counted (uid, first, high, low).
+
+    Rows come sorted by key and context, so that equal contexts are neighbours.
+    """
 
     def ranges(rows: list[tuple]) -> pd.DataFrame:
         out = pd.DataFrame(rows, columns=["uid", "begin", "end"]).reindex(columns=_FOUND)
         return out.astype({c: "Int64" for c in _FOUND})
 
-    def settle(block: list[tuple[bytes, list[tuple]]]) -> list[tuple]:
+    def settle(block: list[tuple[bytes, int, int, bool]]) -> list[tuple]:
         rows = []
-        for flags, (_, places) in zip(repeats_in_block([c for c, _ in block], [len(o) for _, o in block], length), block):
-            for a, b in zip(*_ranges(flags)):
-                rows.extend((uid, first + int(a), first + int(b) - 1 + length) for uid, first in places)
+        for flags, (_, uid, first, _) in zip(repeats_in_block([b[0] for b in block], [1 + b[3] for b in block], length), block):
+            rows.extend((uid, first + int(a), first + int(b) - 1 + length) for a, b in zip(*_ranges(flags)))
         return rows
 
-    def windows(rows: list[tuple[bytes, list[tuple]]]) -> pd.DataFrame:
+    def windows(stream: list[tuple[bytes, int, int, bool]]) -> pd.DataFrame:
         made = []
-        for context, places in rows:
-            a = np.frombuffer(context, np.uint8)
-            high = window_hashes(prefix_hash(a), length)
-            low = splitmix(window_hashes(prefix_hash(np.uint8(255) - a), length) ^ splitmix(high))
-            made.extend((np.full(len(high), uid, np.int64), np.arange(first, first + len(high)), high.view(np.int64), low.view(np.int64)) for uid, first in places)
+        for context, uid, first, _ in stream:
+            d = _digests(context, length)
+            made.append((np.full(len(d), uid, np.int64), np.arange(first, first + len(d)), d[:, 0], d[:, 1]))
         u, f, h, w = (np.concatenate(x) for x in zip(*made))
         return pd.DataFrame({"uid": u, "begin": None, "end": None, "first": f, "high": h, "low": w}).astype({c: "Int64" for c in _FOUND})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block: list[tuple[bytes, list[tuple]]] = []
+        block: list[tuple[bytes, int, int, bool]] = []
+        own: list[tuple[bytes, int, int, bool]] = []  # of the key that is being read
+        stream: list[tuple[bytes, int, int, bool]] = []  # of hot keys
         rows: list[tuple] = []  # settled
-        stream: list[tuple[bytes, list[tuple]]] = []  # of hot keys
-        held, key, own, streaming = 0, None, {}, False
+        held = own_bytes = stream_bytes = 0
+        key, streaming = None, False
 
         def close() -> None:
-            """What is gathered of a key goes into the block, unless all its contexts are one, which then repeats whole."""
-            nonlocal own, held
-            if len(own) == 1 and len(places := next(iter(own.values()))) > 1:
-                context = next(iter(own))
-                rows.extend((uid, first, first + len(context)) for uid, first in places)
+            """What is gathered of a key goes into the block, unless it is one repeated context."""
+            nonlocal own, own_bytes, held
+            if len(own) == 1 and own[0][3]:
+                context, uid, first, _ = own[0]
+                rows.append((uid, first, first + len(context)))
             else:
-                for context, places in own.items():
-                    block.append((context, places))
-                    held += len(context) + 1
-            own = {}
+                block.extend(own)
+                held += own_bytes
+            own, own_bytes = [], 0
 
         for frame in frames:
-            for k, uid, first, context in zip(frame["key"], frame["uid"], frame["first"], frame["context"]):
+            for k, uid, first, size, again, context in zip(*(frame[c] for c in ("key", "uid", "first", "size", "again", "context"))):
+                if len(rows) > 50_000:
+                    yield ranges(rows)
+                    rows = []
+                if stream_bytes > 300_000 and not streaming or stream_bytes > 2_000_000:
+                    yield windows(stream)
+                    stream, stream_bytes = [], 0
+                if context is None:
+                    rows.append((uid, first, first + size))
+                    continue
                 if k != key:
                     close()
                     key, streaming = k, False
                     if held > block_bytes:
                         rows.extend(settle(block))
                         block, held = [], 0
-                    if len(rows) > 50_000:
-                        yield ranges(rows)
-                        rows = []
                 context = bytes(context)
+                into = stream if streaming else own
+                if into and into[-1][0] == context:
+                    rows.append((uid, first, first + size))
+                    if not into[-1][3]:  # the one that goes on is marked
+                        into[-1] = (*into[-1][:3], True)
+                        if streaming:
+                            rows.append((into[-1][1], into[-1][2], into[-1][2] + size))
+                    continue
+                into.append((context, uid, first, bool(again)))
                 if streaming:
-                    stream.append((context, [(uid, first)]))
-                else:
-                    own.setdefault(context, []).append((uid, first))
-                    if len(own) > hot:
-                        streaming = True
-                        stream.extend(own.items())
-                        own = {}
-                if len(stream) > 1000:
-                    yield windows(stream)
-                    stream = []
+                    stream_bytes += size
+                    if again:
+                        rows.append((uid, first, first + size))
+                    continue
+                own_bytes += size + 1
+                if len(own) > hot or own_bytes > hot_bytes:
+                    streaming = True
+                    rows.extend((u, f, f + len(c)) for c, u, f, a in own if a)
+                    stream.extend(own)
+                    stream_bytes += own_bytes
+                    own, own_bytes = [], 0
         close()
         if block:
             rows.extend(settle(block))
@@ -326,12 +370,14 @@ def _expand(length: int, block_bytes: int, hot: int):
 def _cut_out(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         rows = []
-        for uid, text, spans in zip(frame["uid"], frame["text"], frame["spans"]):
+        for sha, rid, text, spans in zip(frame["sha"], frame["rid"], frame["text"], frame["spans"]):
             data = text.encode("utf-8", "surrogatepass")
             merged = merge_spans([(s["begin"], s["end"]) for s in spans])
-            kept = remove_spans(data, merged)
-            rows.append((uid, len(data) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
-        yield pd.DataFrame(rows, columns=["uid", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kept = kept_parts(data, merged)
+            whole = b"".join(kept)
+            # part by part: halves of two characters must not make a third
+            rows.append((sha, rid, len(data) - len(whole), len(merged), hashlib.sha256(whole).hexdigest(), "".join(x.decode("utf-8", "ignore") for x in kept)))
+        yield pd.DataFrame(rows, columns=["sha", "rid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -345,58 +391,65 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in out]
 
 
+def kept_parts(data: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+    """What lies before, between and after the spans."""
+    ends = [0, *(b for _, b in spans)]
+    return [data[a:b] for a, b in zip(ends, [*(a for a, _ in spans), len(data)])]
+
+
 def remove_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
-    parts, at = [], 0
-    for a, b in spans:
-        parts.append(data[at:a])
-        at = b
-    parts.append(data[at:])
-    return b"".join(parts)
+    return b"".join(kept_parts(data, spans))
+
 
+def _identity(text_col: str) -> tuple[Column, Column]:
+    """SHA-256 of a text (null: empty) and its length in bytes."""
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    return F.unhex(F.sha2(text, 256)), F.octet_length(text).cast("bigint")
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """uid (of doc_id and text together), doc_id, text, tkey (of the text), n_bytes."""
-    base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    base = base.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")).withColumn("tkey", F.xxhash64("text", "n_bytes"))
-    return base.withColumn("uid", F.xxhash64("doc_id", "tkey", "n_bytes"))
 
+def removals(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH, hot: int = HOT, hot_bytes: int = HOT_BYTES, block_bytes: int = BLOCK_BYTES
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(marked, copies, changed): doc_id, n_bytes, sha and rid of every row; the shas of texts (of ``length`` bytes or more) that occur
+    more than once; for each other row of which something goes, its sha, rid, n_removed, n_spans, kept_sha256 and kept.
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(marked, copies, changed): the marked rows; the tkeys of texts that occur more than once; for each other
-    row of which something goes, its uid, n_removed, n_spans, kept_sha256 and kept."""
+    rid is a hash of id and text; beside the sha it spreads equal texts over the partitions.
+    """
     n = partitions(docs.sparkSession)
-    marked = _marked(docs, id_col, text_col)
-    texts = marked.where(F.col("n_bytes") >= length)
-    copies = cut(texts.groupBy("tkey").agg(F.count("*").alias("copies"), F.min("uid").alias("uid")))
-    anchors = texts.select("tkey", "text").mapInPandas(_anchors(length, stretch), COMBINED)
+    sha, n_bytes = _identity(text_col)
+    base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), sha.alias("sha"), n_bytes.alias("n_bytes"))
+    base = base.select("*", F.xxhash64("doc_id", "sha").alias("rid"))
+    texts = base.where(F.col("n_bytes") >= length)
+    copies = cut(texts.groupBy("sha").agg(F.count("*").alias("copies"), F.min("rid").alias("rid")))
+    anchors = texts.select(F.xxhash64("sha").alias("tkey"), "text").mapInPandas(_anchors(length, stretch), COMBINED)
     lists = shared_keys(anchors).groupBy(F.col("owner").alias("tkey")).agg(F.collect_set("key").alias("shared"))
     # the one row that stands for all copies of a text
-    lists = lists.join(copies, "tkey").select("uid", "shared", "copies")
-    standing = cut(texts.select("uid", "text").join(lists, "uid"))
-    contexts = standing.mapInPandas(_contexts(length, stretch), "key bigint, uid bigint, first bigint, context binary")
-    contexts = contexts.repartition(n, "key").sortWithinPartitions("key")
-    found = cut(contexts.mapInPandas(_expand(length, block_bytes, hot), ", ".join(f"{c} bigint" for c in _FOUND)))
+    lists = lists.join(copies.withColumn("tkey", F.xxhash64("sha")), "tkey").select("sha", "rid", "shared", "copies")
+    standing = texts.select("sha", "rid", "text").join(lists, ["sha", "rid"]).dropDuplicates(["sha", "rid"])
+    standing = cut(standing.withColumn("uid", F.monotonically_increasing_id()))  # fixed by the checkpoint
+    contexts = standing.select("uid", "text", "shared").mapInPandas(_contexts(length, stretch), _CONTEXTS)
+    contexts = contexts.repartition(n, "key").sortWithinPartitions("key", "context")
+    found = cut(contexts.mapInPandas(_expand(length, block_bytes, hot, hot_bytes), ", ".join(f"{c} bigint" for c in _FOUND)))
     counted = found.where("high is not null").groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
     more = found.where("high is not null").join(counted, ["high", "low"], "left_semi")
     spans = found.where("begin is not null").select("uid", "begin", "end").union(more.select("uid", F.col("first").alias("begin"), (F.col("first") + length).alias("end")))
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    alone = standing.where("copies = 1").dropDuplicates(["uid"]).select("uid", "text").join(spans, "uid")
-    changed = alone.mapInPandas(_cut_out, "uid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    return marked, copies.where("copies > 1").select("tkey", "copies"), changed
+    alone = standing.where("copies = 1").select("uid", "sha", "rid", "text").join(spans, "uid")
+    changed = alone.select("sha", "rid", "text", "spans").mapInPandas(_cut_out, "sha binary, rid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    return base.drop("text"), copies.where("copies > 1").select("sha"), changed
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans and kept_sha256. Of the texts, only those with repeats are shuffled after the search."""
     marked, copies, changed = removals(docs, id_col, text_col, length, **options)
-    rows = marked.select("uid", "tkey", "doc_id", "n_bytes", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
-    rows = rows.join(changed.drop("kept"), "uid", "left").join(copies, "tkey", "left")
-    whole = F.col("copies").isNotNull()
+    rows = marked.join(changed.drop("kept"), ["sha", "rid"], "left").join(copies.withColumn("whole", F.lit(True)), "sha", "left")
+    whole = F.col("whole").isNotNull()
     return rows.select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
+        F.when(whole, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha")))).alias("kept_sha256"),
     )
 
 
@@ -405,12 +458,12 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Where a cut leaves part of a character, that part goes, too.
     """
-    marked, copies, changed = removals(docs, id_col, text_col, length, **options)
-    q = lambda c: F.col(f"`{c}`")
-    tkey = F.xxhash64(q(text_col), F.coalesce(F.octet_length(q(text_col)), F.lit(0)).cast("bigint"))
-    rows = docs.withColumn("_tkey", tkey).withColumn("_uid", F.xxhash64(q(id_col).cast("bigint"), "_tkey", F.coalesce(F.octet_length(q(text_col)), F.lit(0)).cast("bigint")))
-    rows = rows.join(changed.select(F.col("uid").alias("_uid"), F.col("kept").alias("_kept")), "_uid", "left")
-    rows = rows.join(copies.select(F.col("tkey").alias("_tkey"), F.lit(True).alias("_whole")), "_tkey", "left")
-    whole_text = F.when(F.col("_whole"), F.lit("")).when(F.col("_kept").isNotNull(), F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "\ufffd", "")).otherwise(q(text_col))
-    out = [whole_text.alias(c) if c == text_col else F.length(whole_text).cast(docs.schema[c].dataType).alias(c) if c == chars_col else q(c) for c in docs.columns]
-    return rows.select(*out)
+    _, copies, changed = removals(docs, id_col, text_col, length, **options)
+    sha, _ = _identity(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), sha.alias("sha"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"))
+    rows = rows.select("row", "sha", F.xxhash64("doc_id", "sha").alias("rid"))
+    rows = rows.join(changed.select("sha", "rid", "kept"), ["sha", "rid"], "left").join(copies.withColumn("whole", F.lit(True)), "sha", "left")
+    of = lambda c: F.col("row").getField(c)
+    text = F.when(F.col("whole"), F.lit("")).otherwise(F.coalesce("kept", of(text_col)))
+    new = {text_col: text, chars_col: F.length(text).cast(docs.schema[chars_col].dataType) if chars_col in docs.columns else None}
+    return rows.select(*[new.get(c, of(c)).alias(c) for c in docs.columns])
