@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from waygraph.llm import components, decontaminate, ngram_join, substring_dedup
 
@@ -160,7 +161,7 @@ def test_texts_without_repeats(spark):
 def contained(texts, items, percent=80):
     def sh(t):
         w = [x for x in re.split(r"[^a-z0-9]+", (t or "").lower()) if x]
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
     d = [sh(t) for t in texts]
     return {(k, j): (len(sh(i)), len(sh(i) & s)) for k, s in enumerate(d) for j, i in enumerate(items) if sh(i) and 100 * len(sh(i) & s) >= percent * len(sh(i))}
@@ -178,7 +179,7 @@ def test_items_in_documents(spark):
                 item[rng.randrange(len(item))] = "changed"
             own += item
         texts.append(" ".join(own).upper() if rng.random() < 0.3 else " , ".join(own))
-    texts += [None, "", items[4], "!! " + items[5] + " ?"]
+    texts += [None, "", items[4], "!! " + items[5] + " ?", "Four words, are few!", "four words are few indeed"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     got = decontaminate.find_contained(docs(spark, texts), bench).collect()
     assert {(r.doc_id, r.item_id): (r.n_item_shingles, r.n_shared) for r in got} == contained(texts, items) and got
@@ -189,6 +190,32 @@ def test_items_in_documents(spark):
     assert decontaminate.find_contained(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_an_item_over_rows_of_one_document(spark):
+    """Ten shingles, eight needed; two rows of one id hold six each, together ten."""
+    item = [f"w{k}" for k in range(14)]
+    rows = docs(spark, [" ".join(item[:10]), " ".join(item[:10]), " ".join(item)]).union(docs(spark, [" ".join(item[4:])]))
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.n_shared) for r in decontaminate.find_contained(rows, bench).collect()}
+    assert got == {(0, 7, 10), (2, 7, 10)}
+
+
+def test_shingles_of_documents_are_made_once(spark):
+    """Inferred filters must not inline the shingle chain."""
+    sketch = spark.createDataFrame([(7, 3, 5)], "item_id bigint, least int, h bigint")
+    limits = [0] * decontaminate.PARTITIONS
+    probes = decontaminate._probes(docs(spark, ["a b c d e f g h"]), "doc_id", "text", limits)
+    found = probes.join(F.broadcast(sketch), "h").where("coalesce(part, -1) >= least")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("split(") == 1, plan
+
+
+def test_decontaminated_rows_keep_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", 5, "p"), (None, "a b c d e f", 6, "q"), (2, "z", 7, "r")], "doc_id bigint, text string, n int, item_id string").selectExpr("*", "n as part", "n as least", "n as id")
+    bench = spark.createDataFrame([(7, "a b c d e", "x")], "item_id bigint, text string, doc_id string")
+    kept = decontaminate.decontaminate(rows, bench)
+    assert kept.columns == rows.columns and {(r.doc_id, r.n, r.item_id, r.id) for r in kept.collect()} == {(None, 6, "q", 6), (2, 7, "r", 7)}
+
+
 @pytest.mark.parametrize("limit", [0, 10_000])
 def test_components_both_ways(spark, limit):
     rng = random.Random(3)

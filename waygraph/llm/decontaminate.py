@@ -1,17 +1,23 @@
 """Benchmark decontamination by size-partitioned MinHash containment search, in DataFrame functions only.
 
-Items and documents are sets of five-word shingles (lower case, words of letters and digits). An item
-of q shingles counts as contained if at least ``share`` of them are in the document. Items are
-partitioned by how many shingles of theirs may be missing, m = q - ceil(share * q), and an item's
-MinHash sketch is the m + 1 least hashes of its shingles: a document that lacks at most m of them has
-one of the sketch for certain. So no true pair is lost, whatever the length of the document; banded signatures
-of whole documents would lose short items, as their Jaccard similarity to a long document is near 0.
-Candidates also need enough shingles (the size condition). They are verified by exact containment
-of the shingles as text.
-
-Defined results: null and short texts (under five words) have no shingles and neither contain nor are
-contained; repeated shingles count once; rows that share a doc_id count as one document and rows that share an item_id as
-one item; rows without an id are not reported; an empty table gives no pairs.
+Items and documents are sets of five-word shingles (lower case, words of letters and digits); fewer words are one
+shingle, the whole sequence. An item of q shingles counts as contained if at least ``share`` percent of them, rounded up (need), are in the document.
+
+1. Size partitions. Document rows are partitioned by the power of two of their number of shingles. An item is searched for in
+   the partitions whose largest size reaches its need, and in no others.
+2. MinHash sketches, under one hash order. An item's sketch is the q - need + 1 least hashes of its shingles: a document that
+   contains it lacks at most q - need of its shingles, so it has one of the sketch for certain. The sketch of a document in a partition is
+   all of its hashes up to the largest in the sketches of the partition's items (a bottom sketch by threshold: of long documents
+   it grows with their length, as it must for short items to be found in them). Sketches that share a hash make a candidate.
+3. Verification by exact containment of the shingles as text.
+
+So no true pair is lost, whatever the lengths. Banded signatures of fixed length, tuned a partition, would lose short items:
+an item of 20 shingles in a document of 20,000 has a Jaccard similarity of 0.001, so that most bands see nothing of it.
+
+Defined results: null texts and texts without words have no shingles and neither contain nor are
+contained; repeated shingles count once; rows that share a doc_id count as one document (they are searched as if they were of
+the largest size) and rows that share an item_id as one item; rows without an id are not reported; very long texts are rows like others;
+an empty table gives no pairs; other columns don't matter, whatever their names, and ``decontaminate`` keeps them.
 """
 
 from __future__ import annotations
@@ -19,14 +25,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import at_most, bounded, cut
 
 WORDS, SHARE = 5, 80  # shingle length; percent of an item's shingles
 NON_WORD = r"[^\p{L}\p{N}]+"
 
 
 def _shingled(df: DataFrame, id_col: str, text_col: str, as_text: bool, keep: list[str] | None = None) -> DataFrame:
-    """(id, keep..., sh): sh holds the shingles of a row, as hashes or as text; null for a row under five words.
+    """(id, keep..., n, sh): sh holds the n shingles of a row, as hashes or as text; null for a row without words.
 
     Each step is a select of its own: arrays that a step uses more than once are then made once.
     Use explode_outer on sh: for explode the optimiser would infer a filter on the array's size and
@@ -46,7 +52,37 @@ def _shingled(df: DataFrame, id_col: str, text_col: str, as_text: bool, keep: li
     four = F.zip_with(F.slice("w2", 1, upto(3)), F.slice("w2", 3, upto(3)), join)
     out = out.select("id", *keep, "w", "n", four.alias("w4"))
     five = F.zip_with(F.slice("w4", 1, upto(4)), F.slice("w", 5, upto(4)), join)
-    return out.select("id", *keep, F.when(F.col("n") >= WORDS, five).alias("sh"))
+    whole = F.concat_ws(" ", "w") if as_text else F.xxhash64(F.concat_ws(" ", "w"))
+    sh = F.when(F.col("n") >= WORDS, five).when(F.col("n") > 0, F.array(whole))
+    return out.select("id", *keep, F.greatest(F.col("n") - WORDS + 1, F.lit(1)).alias("n"), sh.alias("sh"))
+
+
+#: The number of size partitions; the last one has all rows from 2 ** (PARTITIONS - 1) shingles on.
+PARTITIONS = 31
+_LEAST = -(1 << 63)
+
+
+def _partition(size: str) -> str:
+    """SQL: the size partition of a row, or the least partition that reaches an item's need."""
+    return f"least(cast(floor(log2({size})) as int), {PARTITIONS - 1})"
+
+
+def _probes(docs: DataFrame, id_col: str, text_col: str, limits: list[int]) -> DataFrame:
+    """(id, part, h): the sketches of document rows; limits: the largest hash that counts in each partition."""
+    known = docs.where(F.col(f"`{id_col}`").isNotNull())
+    ids = known.select(F.col(f"`{id_col}`").alias("id"))
+    again = cut(ids.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1"))
+    rows = known.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    if at_most(again, 0):
+        rows = rows.select("*", F.lit(1).cast("bigint").alias("rows"))
+    else:
+        rows = rows.join(bounded(again), "id", "left")
+    # the partition from the words, not from the array: nothing here may make the shingles twice
+    sketched = _shingled(rows, "id", "text", as_text=False, keep=["rows"])
+    sketched = sketched.select("id", F.when(F.coalesce("rows", F.lit(1)) > 1, PARTITIONS - 1).otherwise(F.expr(_partition("n"))).alias("part"), "sh")
+    limit = F.element_at(F.array(*[F.lit(x) for x in limits]), F.col("part") + 1)
+    sketched = sketched.select("id", "part", limit.alias("limit"), "sh").select("id", "part", F.filter("sh", lambda h: h <= F.col("limit")).alias("sh"))
+    return sketched.select("id", "part", F.explode_outer("sh").alias("h"))
 
 
 def find_contained(
@@ -54,7 +90,7 @@ def find_contained(
 ) -> DataFrame:
     """(doc_id, item_id, n_item_shingles, n_shared, containment): every pair at or above ``share`` percent.
 
-    The shingles of documents are never shuffled while the sketches of the items are small enough to
+    The sketches of documents are never shuffled while those of the items are small enough to
     broadcast (counted first); otherwise they are joined by hash, skew left to adaptive execution.
     """
     items = items.where(F.col(f"`{item_id_col}`").isNotNull())
@@ -63,14 +99,13 @@ def find_contained(
     own = cut(own.join(sizes, "id"))
     hashed = _shingled(items, item_id_col, item_text_col, as_text=False).select("id", F.explode_outer("sh").alias("h")).where("h is not null").distinct()
     sketch = hashed.groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("h")).join(sizes, "id")
-    sketch = sketch.select("id", "need", F.explode(F.expr("slice(h, 1, cast(q - need + 1 as int))")).alias("h"))
-    sketch = cut(sketch.select(F.col("id").alias("item_id"), "need", "h"))
-
-    # search: any hash of an item's sketch in a document that is large enough
-    probes = _shingled(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col, as_text=False)
-    probes = probes.select("id", F.size("sh").alias("n"), F.explode_outer("sh").alias("h"))
-    # coalesce: a plain comparison lets the optimiser infer "n is not null", push it down and inline the shingles there
-    found = probes.join(bounded(sketch), "h").where("coalesce(n, 0) >= need")
+    sketch = sketch.select("id", F.expr(_partition("need")).alias("least"), F.explode(F.expr("slice(h, 1, cast(q - need + 1 as int))")).alias("h"))
+    sketch = cut(sketch.select(F.col("id").alias("item_id"), "least", "h"))
+
+    # search: an item's sketch meets the sketches of the partitions that can hold it
+    tops = {r.least: r.top for r in sketch.groupBy("least").agg(F.max("h").alias("top")).collect()}  # a row a partition at most
+    limits = [max([_LEAST, *(t for k, t in tops.items() if k <= part)]) for part in range(PARTITIONS)]
+    found = _probes(docs, id_col, text_col, limits).join(bounded(sketch), "h").where("coalesce(part, -1) >= least")
     candidates = cut(found.select(F.col("id").alias("doc_id"), "item_id").distinct())
 
     # verification: the shingles as text, of candidate documents only
@@ -87,9 +122,10 @@ def find_contained(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows that contain an item; all columns kept."""
-    hit = cut(find_contained(docs, items, id_col, text_col, **options).select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(bounded(hit), id_col, "left_anti").select(*docs.columns)
+    """``docs`` without the rows that contain an item; all columns and rows without an id kept."""
+    hit = cut(find_contained(docs, items, id_col, text_col, **options).select("doc_id").distinct())
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("doc_id"))
+    return own.join(bounded(hit), "doc_id", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
@@ -98,9 +134,9 @@ with w as (
   union all
   select item_id, 1, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') from benchmark
 ), n as (
-  select id, kind, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5
+  select id, kind, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from w where len(w) > 0 and id is not null
 ), s as (
-  select distinct id, kind, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] as sh from n
+  select distinct id, kind, array_to_string(w[i : i + 4], ' ') as sh from n
 ), q as (
   select id, count(*) as q from s where kind = 1 group by id
 ), m as (
