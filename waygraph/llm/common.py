@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if a count has shown that it has at most this many narrow rows.
@@ -18,13 +18,15 @@ BROADCAST_ROWS = 200_000
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder, so that its lineage ends in files all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests on one
-    machine) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``; only where that is unset and the master is one
+    machine (tests) a temporary one is made.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
 
 
@@ -41,6 +43,18 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def with_struct(df: DataFrame, found: Column, drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without the columns ``drop``, with the fields of the struct ``found`` as columns, in place of columns of these names.
+
+    The one rule for output columns of the operators that keep their input's: an operator's own columns win.
+    """
+    fields = df.select(found.alias("f")).schema["f"].dataType.names
+    taken = {c.lower() for c in (*fields, *drop)}
+    rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
+    row = df.select(F.struct(*rest).alias("rest") if rest else F.lit(None).alias("rest"), found.alias("found"))
+    return row.select(*(["rest.*"] if rest else []), "found.*")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,6 +11,9 @@ a hash of their id over the whole table. Scoring reads every text whole.
 
 Defined results: null texts and texts without a letter are ``und`` (score 0, rejected); very long texts
 are scored piece by piece; ties go to the language first in order; rows that repeat are each answered.
+Where there is nothing to learn from (an empty table, no labels, no letters) the model has no languages: every text is ``und``
+with score 0, and those with letters are not rejected, as nothing speaks against them. Labelled rows without an id are not
+learnt from. An empty table of texts gives an empty table. ``identify`` keeps all columns but those of its own names, which it replaces.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import bounded, cut, with_struct
 
 ORDER = 4
 DISCOUNT = 0.75
 MAX_DOCS, MAX_CHARS = 400, 1_500_000
+#: Parts of a language that are cut down to MAX_DOCS rows apart, so that no task ranks all that the tasks before pass on.
+SALTS = 64
 #: Letters that the models tell apart; all others share one code.
 LETTERS = 4000
 _OTHER, _EDGE = 1, 0
@@ -119,6 +124,11 @@ class Model:
             open_ = open_[at[open_] + 1 < stop[open_]]
         return row
 
+    @classmethod
+    def without_languages(cls) -> Model:
+        none = np.zeros(0)
+        return cls([], np.zeros(1, np.uint32), none.astype(np.uint64), np.zeros((0, 0), np.float32), np.zeros((0, 0), np.float32), np.zeros(2, np.int64), 0, np.zeros((0, 3)))
+
     def losses(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """For each text: summed -log p under each language, and the number of letters and gaps scored (0 without a letter)."""
         total, scored = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
@@ -306,36 +316,40 @@ def ngram_counts(texts: Iterator[tuple[str, str]]) -> pd.DataFrame:
         u, n = np.unique(key[inside], return_counts=True)
         grams = np.stack([own[(u // len(own) ** (ORDER - 1 - j)) % len(own)] for j in range(ORDER)], axis=1)
         frames.append(pd.DataFrame({"lang": lang, "gram": list(grams.astype(np.int32)), "n": n}))
-    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"lang": [], "gram": [], "n": []})
+    if frames:
+        return pd.concat(frames, ignore_index=True)
+    return pd.DataFrame({"lang": pd.Series([], dtype=object), "gram": pd.Series([], dtype=object), "n": pd.Series([], dtype=np.int64)})
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model:
     """Fits and calibrates a model on the rows of ``labelled`` that have a text and a language.
 
     The choice takes the ``max_docs`` rows of each language with the least hash of their id (as a
-    top-k: each task passes on that many at most), then, in that order, rows until ``max_chars``
-    is reached. Every fifth chosen row is kept from the counts for the calibration.
+    top-k in three steps: of each task, of each of ``SALTS`` parts of a language, of the language), then, in that order,
+    rows until ``max_chars`` is reached. Every fifth chosen row is kept from the counts for the calibration.
     """
     q = lambda c: F.col(f"`{c}`")
     rows = labelled.where(q(text_col).isNotNull() & q(lang_col).isNotNull())
     slim = rows.select(q(id_col).alias("id"), q(lang_col).alias("lang"), F.length(q(text_col)).alias("len"), F.xxhash64(F.lit(11), q(id_col), F.length(q(text_col))).alias("h"))
+    salted = Window.partitionBy("lang", F.pmod(F.xxhash64(F.lit(12), "id"), F.lit(SALTS))).orderBy("h", "id")
+    slim = slim.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= max_docs).drop("r")
     by = Window.partitionBy("lang").orderBy("h", "id")
     chosen = slim.withColumn("r", F.row_number().over(by)).where(F.col("r") <= max_docs)
     chosen = chosen.withColumn("upto", F.sum("len").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     chosen = cut(chosen.where(F.coalesce("upto", F.lit(0)) < max_chars).select("id", F.col("lang").alias("_lang"), (F.col("r") % 5 == 0).alias("held")))
-    # at most max_docs rows a language: small enough to broadcast
-    sample = rows.select(q(id_col).alias("id"), q(text_col).alias("text"), q(lang_col).alias("lang")).join(F.broadcast(chosen.dropDuplicates(["id"])), "id").where("lang = _lang")
+    # at most max_docs rows a language; languages are counted before they are broadcast
+    sample = rows.select(q(id_col).alias("id"), q(text_col).alias("text"), q(lang_col).alias("lang")).join(bounded(cut(chosen.dropDuplicates(["id"]))), "id").where("lang = _lang")
 
     def count(frames):
         for frame in frames:
             frame = frame[~frame["held"]]
-            if len(frame):
-                yield ngram_counts(zip(frame["lang"], frame["text"]))
+            if len(found := ngram_counts(zip(frame["lang"], frame["text"]))):
+                yield found
 
     grams = sample.select("lang", "text", "held").mapInPandas(count, "lang string, gram array<int>, n bigint")
     counts = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
-        raise ValueError("no labelled text to fit on")
+        return Model.without_languages()
     langs = sorted(counts["lang"].unique())
     model = fit(counts.sort_values(["lang", "n"], kind="stable"), langs)
     shared = sample.sparkSession.sparkContext.broadcast(model)
@@ -345,7 +359,8 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             frame = frame[frame["held"] & frame["lang"].isin(langs)]
             losses, ns = shared.value.losses(list(frame["text"]))
             out = [(lang, int(n), float(loss[langs.index(lang)]) / n) for lang, loss, n in zip(frame["lang"], losses, ns) if n]
-            yield pd.DataFrame(out, columns=["lang", "n", "h"])
+            if out:
+                yield pd.DataFrame(out, columns=["lang", "n", "h"])
 
     held = sample.select("lang", "text", "held").mapInPandas(held_out, "lang string, n bigint, h double").toPandas()
     for k, lang in enumerate(langs):
@@ -370,6 +385,8 @@ SLACK, MARGIN = 2.0, 1.25
 def predict_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
     """For each text: language, score from 0 to 1, cross-entropy in nats a letter, and whether it is rejected."""
     out = []
+    if not model.langs:
+        return [("und", 0.0, None, not letters_of(t or "").any()) for t in texts]
     for loss, n in zip(*model.losses([t or "" for t in texts])):
         if not n:
             out.append(("und", 0.0, None, True))
@@ -388,12 +405,18 @@ def predict_text(model: Model, text: str | None) -> tuple[str, float, float | No
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``df`` with lang_pred, score, cross_entropy and rejected; no shuffle. The model is a few MB, bounded by the fit's bound."""
+    """``df`` with lang_pred, score, cross_entropy and rejected in place of columns of these names; no shuffle. The model is a few MB, bounded by the fit's bound."""
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(predict_texts(shared.value, list(texts)), columns=["lang_pred", "score", "cross_entropy", "rejected"])
 
-    q = lambda c: F.col(f"`{c}`")
-    return df.select(*[q(c) for c in df.columns], predict(q(text_col)).alias("_lang_id")).select(*[q(c) for c in df.columns], "_lang_id.*")
+    return with_struct(df, predict(F.col(f"`{text_col}`")))
+
+
+def without_rejected(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``df`` without the rows that ``identify`` rejects; all columns kept, whatever their names."""
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    kept = identify(row, model).where("not rejected")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])
