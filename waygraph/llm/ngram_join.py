@@ -20,8 +20,9 @@ The components of the links are those of the full join: a link is skipped only i
 connected already.
 
 Defined results: null texts and texts without words have size 0 and link with nothing; texts of fewer
-words than a shingle has are one shingle, the whole sequence; repeated rows are of one class; a null
-doc_id never becomes a component's id unless nothing else is in it; empty tables give empty tables.
+words than a shingle has are one shingle, the whole sequence; very long texts are hashed piece by piece; repeated rows are of one class; rows
+without a doc_id link like others, but a null never becomes a component's id unless all its rows lack one (the id is null, then);
+empty tables give empty tables. Other columns don't matter, whatever their names: ``jaccard_classes`` leaves them out, ``keep_one_each`` keeps them.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, grouped_frames, partitions, shared_keys, shingle_set
@@ -70,15 +71,15 @@ def _short(key: bytes) -> int:
 
 
 def _features(words: int):
-    """(doc_id, n_shingles, class) of each document."""
+    """(doc_id, n_shingles, class, rk) of each document."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+            for doc_id, text, rk in zip(frame["doc_id"], frame["text"], frame["rk"]):
                 s = shingle_set(text, words)
-                rows.append((doc_id, len(s), _class_of(s) if len(s) else None))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class"])
+                rows.append((doc_id, len(s), _class_of(s) if len(s) else None, rk))
+            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "class", "rk"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
@@ -236,19 +237,29 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     ``words`` a shingle; documents link at a Jaccard similarity of ``percent`` hundredths or more.
     component_id is the least doc_id reachable by links, the document's own if there are none.
     """
+    return _labelled(docs, words, percent, id_col, text_col, block).select("doc_id", "n_shingles", "class", "component_id")
+
+
+def _row_key(id_col: str, text_col: str) -> Column:
+    """Of id and text. A set is fetched from the row of its class that has the least; rows that only share the key are told apart by their sets."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("bigint"), F.xxhash64(F.col(f"`{text_col}`")))
+
+
+def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, block: int) -> DataFrame:
+    """What ``jaccard_classes`` gives, with rk and the component's label."""
     spark = docs.sparkSession
-    slim = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    features = cut(slim.mapInPandas(_features(words), "doc_id bigint, n_shingles bigint, class binary"))
+    slim = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _row_key(id_col, text_col).alias("rk"))
+    features = cut(slim.mapInPandas(_features(words), "doc_id bigint, n_shingles bigint, class binary, rk bigint"))
     short = F.expr("cast(conv(hex(substring(class, 1, 8)), 16, -10) as bigint)")
-    classes = features.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    classes = features.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("c", short))
 
     # 1. two rounds of screening: all documents by a short prefix, then the classes left by a long one
     prefixes = slim.select("text").mapInPandas(_screening(lambda f: (shingle_set(t, words) for t in f["text"]), percent, EXTRA), COMBINED)
     alive = _passed(prefixes, classes, percent, EXTRA)
-    texts = slim.join(bounded(alive.select("doc_id", "class")), "doc_id").select("class", "text")
+    texts = slim.select("rk", "text").join(bounded(alive.select("rk", "class")), "rk").select("class", "text")
     sets = cut(texts.mapInPandas(_sets(words), "class binary, size bigint, tokens array<bigint>"))
-    if sets.count() > alive.count():  # only if rows repeat their id
+    if sets.count() > alive.count():  # only if rows repeat id and text
         sets = cut(sets.dropDuplicates(["class"]))
     prefixes = sets.select("tokens").mapInPandas(_screening(lambda f: (np.asarray(t, np.int64).view(np.uint64) for t in f["tokens"]), percent, EXTRA_AGAIN), COMBINED)
     alive = _passed(prefixes, alive, percent, EXTRA_AGAIN)
@@ -300,9 +311,9 @@ def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     labels = connected_components(links)
     classes = classes.join(labels, F.col("class") == F.col("node"), "left").select("class", "doc_id", F.coalesce("label", "class").alias("label"))
     ids = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    placed = classes.join(ids, "label").select("class", "component_id")
-    joined = features.select("doc_id", "n_shingles", "class").join(placed, "class", "left")
-    return joined.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+    placed = classes.join(ids, "label").select("class", "label", "component_id")
+    joined = features.join(placed, "class", "left")
+    return joined.select("doc_id", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"), "label", "rk")
 
 
 def _across(work: DataFrame, big: DataFrame, links: DataFrame, percent: int, block: int) -> DataFrame:
@@ -334,17 +345,18 @@ def _across(work: DataFrame, big: DataFrame, links: DataFrame, percent: int, blo
 def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one of the least id. Repeated rows of it count as one.
 
-    Documents without words are all kept, as they link with nothing.
+    Of a component whose rows all lack an id, one row stays. Documents without words are all kept, as they link with nothing.
     """
-    found = cut(jaccard_classes(docs, words, percent, id_col, text_col).select("doc_id", "class", "component_id"))
-    gone = cut(found.where("class is not null and doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct())
-    again = cut(found.where("doc_id is not null").groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("n")).where("n > 1").select(id_col))
-    kept = docs.join(bounded(gone), id_col, "left_anti").select(*docs.columns)
-    if again.limit(1).count() == 0:
-        return kept
-    # only rows whose id repeats are compared as a whole
-    repeated = bounded(again)
-    return kept.join(repeated, id_col, "left_anti").select(*docs.columns).unionByName(kept.join(repeated, id_col, "left_semi").select(*docs.columns).dropDuplicates())
+    found = cut(_labelled(docs, words, percent, id_col, text_col, BLOCK).where("class is not null").select("doc_id", "component_id", "label", "rk"))
+    kept = found.where("doc_id <=> component_id").groupBy("label").agg(F.min("rk").alias("keep"))
+    gone = cut(found.join(kept, "label").where("rk <> keep").select("rk").distinct())
+    again = cut(found.groupBy("rk").agg(F.count("*").alias("n")).where("n > 1").select("rk"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(F.col(f"`{text_col}`").isNotNull(), _row_key(id_col, text_col)).alias("rk"))
+    rows = rows.join(bounded(gone), "rk", "left_anti")
+    if not at_most(again, 0):
+        repeated = bounded(again)
+        rows = rows.join(repeated, "rk", "left_anti").unionByName(rows.join(repeated, "rk", "left_semi").dropDuplicates(["rk"]))
+    return rows.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
