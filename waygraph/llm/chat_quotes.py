@@ -5,30 +5,37 @@ a passage, joined with single spaces, so that it does not matter where its lines
 normalised and hashed and joined to the sentences that earlier messages of the same conversation said themselves; a
 sentence that none said as a whole is linked by its lines and windows of ``WINDOW`` words, if the message said at
 least half of them. A message replies to the one from which most of its quoted characters of level 1 come.
-Messages keep what they say themselves and are placed so that each follows the one it replies to.
+Messages lose the quoted passages of which a sentence is linked (what is left out is said elsewhere) and are placed so that each
+follows the one it replies to.
 
-Defined results: a null or empty text is a message without words and without quotes; a quote that
-no earlier message said stays unlinked and is left out of the text all the same; if several earlier
+Defined results: a null or empty text is a message without words and without quotes; a quoted passage that
+no earlier message said stays in the text as it was written, marks included; if several earlier
 messages said a sentence, the latest counts; less than ``WINDOW`` words out of the middle of a sentence stay unlinked; equal counts go to the later message. A null conv_id or turn
-joins with nothing. Repeated rows stay repeated. No row is dropped.
+joins with nothing, so that such a message keeps its text. Repeated rows stay repeated. No row is dropped. A very long message is one row, its
+pieces are rows. An empty table gives an empty table. Other columns don't matter, whatever their names, and are left out.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, partitions
 
 _LEVEL = re.compile(r"\s{0,3}((?:>\s?)+)")
 _ATTRIBUTION = re.compile(r"(wrote|writes|said|a écrit|schrieb|escribió)\s*:\s*$", re.I)
 _SPACES = re.compile(r"\s+")
 _END = re.compile(r"(?<=[.!?…])[\"'”’)]*\s+")
-_PARTS = "own string, quoted array<struct<level:int,unit:bigint,n_chars:int,parts:array<bigint>>>"
+_PARTS = "array<struct<level:int,unit:bigint,n_chars:int,parts:array<bigint>>>"
+_NO_CONV = object()
 #: Words of a window: quoted ones lie side by side, said ones begin at each word.
 WINDOW = 5
 
@@ -47,19 +54,24 @@ def parse_levels(text: str | None) -> list[tuple[int, str]]:
     return lines
 
 
-def passages(lines: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
-    """(level, its lines) of each run of lines of one level; empty lines end a passage."""
-    found: list[tuple[int, list[str]]] = []
+def _runs(lines: list[tuple[int, str]]) -> list[tuple[int, list[int]]]:
+    """(level, the places of its lines) of each run of lines of one level; empty lines end a run."""
+    found: list[tuple[int, list[int]]] = []
     last = None
-    for level, line in lines:
+    for k, (level, line) in enumerate(lines):
         if line.strip():
             if level != last:
                 found.append((level, []))
-            found[-1][1].append(line)
+            found[-1][1].append(k)
         last = level if line.strip() else None
     return found
 
 
+def passages(lines: list[tuple[int, str]]) -> list[tuple[int, list[str]]]:
+    """(level, its lines) of each passage."""
+    return [(level, [lines[k][1] for k in at]) for level, at in _runs(lines)]
+
+
 def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
@@ -103,53 +115,82 @@ def quoted_units(level: int, lines: list[str]) -> list[tuple[int, int, int, list
     return found
 
 
-def split_message(text: str | None) -> tuple[str, list[tuple[int, int, int, list[int]]]]:
-    """What a message says itself, and the sentences it quotes."""
+def _read(text: str | None) -> tuple[list[tuple[int, str]], dict[int, int]]:
+    """The lines with their levels, "... wrote:" before a quote emptied, and for each such line the place of the quote's first line."""
     lines = parse_levels(text)
-    own, kept, quotes = [], [], False
+    kept, leads = [], {}
     for k, (level, line) in enumerate(lines):
-        following = next((lv for lv, x in lines[k + 1 :] if x.strip()), 0) if _ATTRIBUTION.search(line) else level
-        if following > level:  # "... wrote:" before a quote
-            kept.append((level, ""))
-            continue
-        kept.append((level, line))
-        quotes = quotes or level > 0 and normalise(line) != ""
-        if not level:
-            own.append(line)
+        if _ATTRIBUTION.search(line):
+            after = next((j for j in range(k + 1, len(lines)) if lines[j][1].strip()), None)
+            if after is not None and lines[after][0] > level:
+                leads[k] = after
+        kept.append((level, "" if k in leads else line))
+    return kept, leads
+
+
+def split_message(text: str | None) -> tuple[str, list[tuple[int, int, int, list[int]]]]:
+    """What a message says itself, without any quote, and the sentences it quotes."""
+    kept, leads = _read(text)
     units = {u[:2]: u for level, run in passages(kept) if level for u in quoted_units(level, run)}
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip("\n") if quotes else (text or ""), list(units.values())
+    if not any(level and normalise(line) for level, line in kept):
+        return text or "", list(units.values())
+    return _joined([line for k, (level, line) in enumerate(kept) if not level and k not in leads]), list(units.values())
 
 
-def _split(column: str) -> Column:
+def without_linked(text: str | None, linked: set[tuple[int, int]]) -> str:
+    """The message without the quoted passages of which a sentence (level, hash) is linked, and without what leads to them."""
+    if not linked:
+        return text or ""
+    kept, leads = _read(text)
+    gone = set()
+    for level, at in _runs(kept):
+        if level and any(u[:2] in linked for u in quoted_units(level, [kept[k][1] for k in at])):
+            gone.update(at)
+    raw = (text or "").splitlines()
+    empty = {k for k, (level, line) in enumerate(kept) if level and not line.strip() and k not in leads}
+    return _joined([x for k, x in enumerate(raw) if k not in gone and k not in empty and leads.get(k) not in gone])
+
+
+def _joined(lines: list[str]) -> str:
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
+
+
+def _quoted(column: str) -> Column:
     @F.pandas_udf(_PARTS)
-    def split(texts: pd.Series) -> pd.DataFrame:
-        rows = [split_message(t) for t in texts]
+    def quoted(texts: pd.Series) -> pd.Series:
         names = ("level", "unit", "n_chars", "parts")
-        return pd.DataFrame({"own": [r[0] for r in rows], "quoted": [[dict(zip(names, u)) for u in r[1]] for r in rows]})
+        return pd.Series([[dict(zip(names, u)) for u in split_message(t)[1]] for t in texts])
 
-    return split(column)
+    return quoted(column)
 
 
 def _said(column: str) -> Column:
     @F.pandas_udf("array<bigint>")
-    def said(own: pd.Series) -> pd.Series:
-        return own.map(said_pieces)
+    def said(texts: pd.Series) -> pd.Series:
+        return pd.Series([said_pieces(split_message(t)[0]) for t in texts])
 
     return said(column)
 
 
+def _own(text: str, linked: str) -> Column:
+    @F.pandas_udf("string")
+    def own(texts: pd.Series, links: pd.Series) -> pd.Series:
+        return pd.Series([without_linked(t, {(int(u["level"]), int(u["line_hash"])) for u in ([] if x is None else x)}) for t, x in zip(texts, links)], dtype=object)
+
+    return own(text, linked)
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, line_hash, n_chars, source_turn): each quoted sentence with the turn it comes from, null if none."""
-    parsed = cut(messages.select("conv_id", "turn", _split("text").alias("p")))
-    return _links(parsed)
+    return _links(cut(messages.select("conv_id", "turn", "text", _quoted("text").alias("quoted"))))
 
 
 def _links(parsed: DataFrame) -> DataFrame:
     # a row number, as equal rows stay apart
     quotes = cut(
-        parsed.where("size(p.quoted) > 0")
+        parsed.where("size(quoted) > 0")
         .withColumn("row", F.monotonically_increasing_id())
-        .select("conv_id", "turn", "row", F.explode("p.quoted").alias("q"))
+        .select("conv_id", "turn", "row", F.explode("quoted").alias("q"))
         .select("conv_id", "turn", "row", F.col("q.level").alias("level"), F.col("q.unit").alias("line_hash"), F.col("q.n_chars").alias("n_chars"), "q.parts")
     )
     unit = ["conv_id", "turn", "row", "level", "line_hash", "n_chars"]
@@ -157,7 +198,7 @@ def _links(parsed: DataFrame) -> DataFrame:
     keys = keys.withColumn("exact", F.col("key") == F.col("line_hash"))
     wanted = keys.select("conv_id", "key").distinct()
     quoting = quotes.select("conv_id").distinct()
-    said = parsed.join(quoting, "conv_id", "left_semi").select("conv_id", "turn", F.explode(_said("p.own")).alias("key"))
+    said = parsed.join(quoting, "conv_id", "left_semi").select("conv_id", "turn", F.explode(_said("text")).alias("key"))
     # one row a piece and turn, then the latest earlier turn by a running maximum: linear, whatever the repeats
     said = said.join(wanted, ["conv_id", "key"], "left_semi").distinct()
     both = keys.unionByName(said, allowMissingColumns=True)
@@ -170,21 +211,23 @@ def _links(parsed: DataFrame) -> DataFrame:
 
 
 def reply_ordered(messages: DataFrame) -> DataFrame:
-    """One row a message: conv_id, turn, role, text without quotes, parent_turn, root_turn, depth, reply_pos, n_quotes, n_linked.
+    """One row a message: conv_id, turn, role, text without linked quotes, parent_turn, root_turn, depth, reply_pos, n_quotes, n_linked.
 
     reply_pos numbers the messages of a conversation from 0: threads by the turn of their first
     message, within a thread by depth and turn, so that each message follows the one it replies to.
     """
-    parsed = cut(messages.select("conv_id", "turn", "role", _split("text").alias("p")))
+    parsed = cut(messages.select("conv_id", "turn", "role", "text", _quoted("text").alias("quoted")))
     links = _links(parsed)
     counted = links.groupBy("conv_id", "turn", "source_turn").agg(
-        F.count("*").alias("n"), F.sum(F.when(F.col("level") == 1, F.col("n_chars")).otherwise(0)).alias("c")
-    )
+        F.count("*").alias("n"), F.sum(F.when(F.col("level") == 1, F.col("n_chars")).otherwise(0)).alias("c"),
+        F.collect_set(F.when(F.col("source_turn").isNotNull(), F.struct("level", "line_hash"))).alias("u"),
+    )
     replies = cut(
         counted.groupBy("conv_id", "turn").agg(
             F.sum("n").alias("n_quotes"),
             F.sum(F.when(F.col("source_turn").isNotNull(), F.col("n")).otherwise(0)).alias("n_linked"),
             F.max(F.when(F.col("source_turn").isNotNull(), F.struct("c", "source_turn")))["source_turn"].alias("parent_turn"),
+            F.flatten(F.collect_list("u")).alias("linked"),
         )
     )
     # pointer doubling over the messages that reply: up is the ancestor reached, depth the steps to it
@@ -200,16 +243,48 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
         if ways.where("moved").limit(1).count() == 0:
             break
     known = replies.join(ways.select("conv_id", "turn", "up", "depth"), ["conv_id", "turn"], "left")
-    out = parsed.select("conv_id", "turn", "role", F.col("p.own").alias("text")).join(known, ["conv_id", "turn"], "left")
+    out = parsed.select("conv_id", "turn", "role", "text").join(known, ["conv_id", "turn"], "left")
     out = out.select(
-        "conv_id", "turn", "role", "text", "parent_turn",
+        "conv_id", "turn", "role", _own("text", "linked").alias("text"), "parent_turn",
         F.coalesce("up", "turn").alias("root_turn"),
         F.coalesce("depth", F.lit(0)).cast("int").alias("depth"),
         F.coalesce("n_quotes", F.lit(0)).cast("bigint").alias("n_quotes"),
         F.coalesce("n_linked", F.lit(0)).cast("bigint").alias("n_linked"),
     )
-    order = Window.partitionBy("conv_id").orderBy("root_turn", "depth", "turn", "role", "text")
-    return out.withColumn("reply_pos", (F.row_number().over(order) - 1).cast("bigint"))
+    return _numbered(out)
+
+
+def _numbered(messages: DataFrame) -> DataFrame:
+    """``messages`` with reply_pos. They are put in order over ranges, so that a large conversation goes over many tasks; a conversation's
+    messages in earlier ranges are added to its places in a range (a range begins with at most one conversation that began before)."""
+    n = partitions(messages.sparkSession)
+    order = ["conv_id", "root_turn", "depth", "turn", "role", "h"]
+    ranged = messages.withColumn("h", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order, "text").drop("h")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranged.schema)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, seen, pid = _NO_CONV, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = batch.column("conv_id").to_pylist()
+            change = np.array([k == 0 or a != b for k, (a, b) in enumerate(zip(key, [None, *key[:-1]]))])
+            run = np.cumsum(change)
+            place = np.arange(len(key)) - np.flatnonzero(change)[run - 1]
+            if conv is not _NO_CONV and key[0] == conv:
+                place[run == 1] += seen
+            conv, seen = key[-1], int(place[-1]) + 1
+            extra = [pa.array(np.full(len(key), pid, np.int32)), pa.array(place.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "pid", "reply_pos"])
+
+    placed = cut(ranged.mapInArrow(local, f"{schema}, pid int, reply_pos bigint"))
+    counts = placed.groupBy("conv_id", "pid").agg(F.count("*").alias("n"))
+    spread = counts.withColumn("pids", F.count("*").over(Window.partitionBy("conv_id"))).where("pids > 1")
+    before = Window.partitionBy("conv_id").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    # at most one row a range
+    starts = spread.select(F.col("conv_id").alias("c"), F.col("pid").alias("p"), F.sum("n").over(before).alias("before")).where("before is not null")
+    out = placed.join(F.broadcast(starts), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("pid") == F.col("p")), "left")
+    return out.withColumn("reply_pos", F.col("reply_pos") + F.coalesce("before", F.lit(0))).drop("c", "p", "before", "pid")
 
 
 def conversations(ordered: DataFrame) -> DataFrame:
