@@ -7,7 +7,10 @@ length, the hash of its whole span under both primes, and a sketch: of the hashe
 ``WIDTH`` code points, the least in each of ``BINS`` bins, kept as one byte.
 
 Defined results: a null text counts as empty; the empty text has a fingerprint of its own; a text
-shorter than ``WIDTH`` has one span, itself. Rows that repeat a doc_id are ordered by text.
+shorter than ``WIDTH`` has one span, itself. Rows that repeat a doc_id are ordered by a hash of the text, then by the text; rows
+without a doc_id come first. A very long text is one row like others, its arrays 16 bytes a code point. The last row's next is the first,
+so a single row's next is itself. An empty table gives an empty table. Other columns don't matter, whatever their names:
+``fingerprint_neighbours`` leaves them out, ``fingerprint_documents`` keeps all but one of its output's name.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, splitmix
+from .common import cut, partitions, splitmix, with_struct
 
 PRIMES = (2_147_483_647, 2_147_483_629)
 BASES = (911_382_323, 972_663_749)
@@ -129,7 +132,7 @@ def fingerprint_documents(df: DataFrame, text_col: str = "text", out_col: str =
     def fingerprints(texts: pd.Series) -> pd.Series:
         return texts.map(fingerprint_text)
 
-    return df.withColumn(out_col, fingerprints(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    return with_struct(df, F.struct(fingerprints(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias(out_col)))
 
 
 _OUT = (
@@ -190,25 +193,20 @@ def _within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _between(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The last text of each range against the first of the next range that has rows."""
+    """The last text of each range against the first of the next: rows of one border follow each other, the next range's first."""
     first: _Doc | None = None
-    last: _Doc | None = None
-    rows: list[tuple] = []
     for frame in frames:
+        rows: list[tuple] = []
         for doc_id, text, is_last in zip(frame["doc_id"], frame["text"], frame["last"]):
             doc = _Doc(None if pd.isna(doc_id) else int(doc_id), text)
             if is_last:
-                last = doc
-                continue
-            if last is None:
-                first = doc
+                rows.append(doc.against(first))
             else:
-                rows.append(last.against(doc))
-    if last is not None:
-        rows.append(last.against(first))
-    out = pd.DataFrame(rows, columns=_COLUMNS)
-    out["doc_id"] = out["doc_id"].astype("Int64")
-    yield out
+                first = doc
+        if rows:
+            out = pd.DataFrame(rows, columns=_COLUMNS)
+            out["doc_id"] = out["doc_id"].astype("Int64")
+            yield out
 
 
 def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,13 +214,17 @@ def fingerprint_neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     The edited text is the text with its last floor(n / 2) code points replaced by the first as many
     of the next document's, by ascending id; the last document's next is the first. One shuffle
-    brings each range of ids together in order; only the two ends of each range (a row or two a
-    partition, whatever the number of rows) meet in one task afterwards.
+    brings each range of ids together in order; then the two texts at each border between ranges meet, each border by itself.
+    Rows of one doc_id are spread over ranges by a hash of their texts.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    ranged = slim.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    slim = slim.select("*", F.xxhash64("text").alias("h"))
+    ranged = slim.repartitionByRange(partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     done = cut(ranged.mapInPandas(_within, f"{_OUT}, pid bigint, last boolean, text string"))
     ends = done.where("pid is not null").select("doc_id", "text", "pid", "last")
-    ends = ends.repartition(1).sortWithinPartitions("pid", "last").mapInPandas(_between, _OUT)
+    used = sorted(r.pid for r in ends.select("pid").distinct().collect())  # numbers of partitions
+    borders = spark.createDataFrame([(p, used[(k + 1) % len(used)]) for k, p in enumerate(used)], "pid bigint, after bigint")
+    ends = ends.join(F.broadcast(borders), "pid").withColumn("border", F.when(F.col("last"), F.col("after")).otherwise(F.col("pid")))
+    ends = ends.repartition(partitions(spark), "border").sortWithinPartitions("border", "last").select("doc_id", "text", "last").mapInPandas(_between, _OUT)
     return done.where("pid is null").select(*_COLUMNS).unionByName(ends)
