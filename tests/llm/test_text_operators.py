@@ -161,7 +161,7 @@ def test_quotes_are_linked_and_left_out(spark):
     one = {r.turn: r for r in got if r.conv_id == 1}
     assert {t: (r.parent_turn, r.root_turn, r.depth) for t, r in one.items()} == {0: (None, 0, 0), 1: (0, 0, 1), 2: (1, 0, 2), 3: (0, 0, 1), 4: (None, 4, 0)}
     assert [t for t, _ in sorted(one.items(), key=lambda x: x[1].reply_pos)] == [0, 1, 3, 2, 4]
-    assert [one[t].text for t in range(5)] == ["Hello there.\nHow is it  going?", "Fine.", "Good.", "New branch.", "Lost."]
+    assert [one[t].text for t in range(5)] == ["Hello there.\nHow is it  going?", "Fine.", "Good.", "New branch.", ">unknown words\nLost."]
     assert (one[2].n_quotes, one[2].n_linked, one[4].n_quotes, one[4].n_linked) == (2, 2, 1, 0)
     chats = {r.conv_id: [m.text for m in r.messages] for r in chat_quotes.conversations(chat_quotes.reply_ordered(df)).collect()}
     assert chats[2] == ["Fine.", "", ""] and chats[1][2] == "New branch."
@@ -186,6 +186,51 @@ def test_quotes_of_another_width_and_out_of_a_paragraph_are_linked(spark):
     got = {r.turn: r for r in chat_quotes.reply_ordered(df).collect()}
     assert {t: r.parent_turn for t, r in got.items()} == {0: None, 1: None, 2: None, 3: 0, 4: 0, 5: 2, 6: 1, 7: 1, 8: None}
     assert (got[3].n_quotes, got[3].n_linked, got[3].text) == (2, 2, "Thanks.")
+    assert got[8].text == rows[8][3]  # said by nobody else: it stays
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_replies_by_brute_force(spark, parts):
+    """Random talks: each message may quote sentences of earlier ones, in lines of any width."""
+    rng = random.Random(parts)
+    rows, said = [], {}
+    for conv in [1] * 40 + [2] * 5 + [None] * 3:
+        turn = sum(r[0] == conv for r in rows)
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(6, 20))) + "."
+        sources = [t for t in range(turn) if rng.random() < 0.3][:2]
+        quote = []
+        for t in sources:
+            words = said.get((conv, t), "").split()
+            width = rng.randrange(3, 9)
+            quote += ["> " + " ".join(words[k : k + width]) for k in range(0, len(words), width)] + [""]
+        stray = ["> " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(7)), ""] if rng.random() < 0.3 else []
+        said[conv, turn] = own
+        rows.append((conv, turn, "user", "\n".join([*stray, *quote, own]), sources, stray[:1]))
+    df = spark.createDataFrame([r[:4] for r in rows], "conv_id bigint, turn bigint, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in chat_quotes.reply_ordered(df.repartition(parts)).collect()}
+    assert len(got) == len(rows)
+    parent = {}
+    for conv, turn, _, text, sources, stray in rows:
+        r = got[conv, turn]
+        best = max(sources, key=lambda t: (len(chat_quotes.normalise(said[conv, t])), t)) if sources and conv is not None else None
+        parent[conv, turn] = best
+        assert r.parent_turn == best
+        if conv is None:
+            assert r.text == text
+        else:
+            assert r.text.split("\n") == stray + ([""] if stray and r.text.split("\n")[1] == "" else []) + [said[conv, turn]]
+
+    def up(conv, turn):
+        depth = 0
+        while parent[conv, turn] is not None:
+            turn, depth = parent[conv, turn], depth + 1
+        return turn, depth
+
+    for conv in (1, 2):
+        order = sorted((t for c, t in parent if c == conv), key=lambda t: (*up(conv, t), t))
+        assert [got[conv, t].reply_pos for t in order] == list(range(len(order)))
+        assert [(got[conv, t].root_turn, got[conv, t].depth) for t in order] == [up(conv, t) for t in order]
+    assert sorted(r.reply_pos for (c, _), r in got.items() if c is None) == [0, 1, 2]
 
 
 def test_parsing_levels():
@@ -219,6 +264,60 @@ def test_probabilities_sum_to_one():
     assert (rows >= 0).all() and abs(langid.np.exp(model.logp[rows, 0].astype(float)).sum() - 1) < 1e-3
 
 
+def test_losses_by_brute_force():
+    """Interpolated Kneser-Ney from dictionaries, letter by letter."""
+    rng = random.Random(8)
+    make = lambda lang, n: " ".join(rng.choice(WORDS[lang]) for _ in range(n))
+    texts = [(lang, make(lang, 30)) for lang in ("de", "en") for _ in range(4)]
+    model = langid.fit(langid.ngram_counts(iter(texts)), ["de", "en"])
+    size, order, cut = len(model.letters) + 2, langid.ORDER, langid.DISCOUNT
+    padded = lambda t: (0,) * (order - 2) + tuple(langid.letters_of(t).tolist())
+    for k, lang in enumerate(model.langs):
+        grams = {order: Counter()}
+        for own, t in texts:
+            p = padded(t)
+            grams[order].update(p[j : j + order] for j in range(len(p) - order + 1) if own == lang)
+        for n in range(order - 1, 0, -1):
+            grams[n] = Counter(g[1:] for g in grams[n + 1])
+
+        def p_of(gram, grams=grams):
+            if not gram:
+                return 1 / size
+            after = {g: c for g, c in grams[len(gram)].items() if g[:-1] == gram[:-1]}
+            if not after:
+                return p_of(gram[1:])
+            total = sum(after.values())
+            return max(after.get(gram, 0) - cut, 0) / total + cut * len(after) / total * p_of(gram[1:])
+
+        for t in ("the and, of!", make("en", 5), make("de", 5), "  zu x"):
+            p = padded(t)
+            want = -sum(langid.np.log(p_of(p[j - order + 1 : j + 1])) for j in range(order - 1, len(p)))
+            losses, scored = model.losses([t, "", t])
+            assert scored.tolist() == [len(p) - order + 1, 0, len(p) - order + 1]
+            assert abs(losses[0, k] - want) < 1e-3 * want and losses[2, k] == losses[0, k]
+
+
+def test_nothing_to_learn_from(spark):
+    rows = [(1, "the of", "en", None, 0), (2, None, None, None, 0), (3, "1 2", None, None, 0)]
+    for labelled in (docs(spark, []), docs(spark, [(1, "the of", None, None, 0)]), docs(spark, [(1, "12 !", "en", None, 0), (2, None, "en", None, 0)])):
+        model = langid.train(labelled)
+        got = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in langid.identify(docs(spark, rows), model).collect()}
+        assert got == {1: ("und", 0.0, False), 2: ("und", 0.0, True), 3: ("und", 0.0, True)}
+    assert langid.identify(docs(spark, []), model).count() == 0
+
+
+def test_tasks_without_letters_and_clashing_columns(spark):
+    """Sampled rows spread over more tasks than there are texts with letters."""
+    rows = [(k, "the of and to in that was with" if k < 30 else "12 34", "en" if k % 2 or k >= 30 else "de", None, 0) for k in range(60)]
+    model = langid.train(docs(spark, rows).repartition(40))
+    assert model.langs == ["de", "en"]
+    clash = docs(spark, rows).selectExpr("*", "lang as lang_pred", "1 as score", "true as rejected")
+    got = langid.identify(clash, model)
+    assert sorted(got.columns) == sorted([*docs(spark, []).columns, "lang_pred", "score", "cross_entropy", "rejected"])
+    kept = langid.without_rejected(clash, model)
+    assert kept.columns == clash.columns and kept.count() == 30 and {r.score for r in kept.collect()} == {1}
+
+
 # --- tokens
 
 
@@ -258,6 +357,18 @@ def test_token_queries(spark):
     assert sentencepiece_codec.digest_documents(docs(spark, []), ["doc_id"]).count() == 0
 
 
+def test_an_operators_own_columns_win(spark):
+    rows = docs(spark, [(1, "the end", "en", "s", 7)]).selectExpr("*", "-1 as n_tokens", "'x' as IDS", "'y' as fingerprint", "'z' as decoded", "'h' as html", "'k' as `a.b`")
+    counted = token_counts.count_tokens(rows)
+    assert counted.columns.count("n_tokens") == 1 and counted.first().n_tokens == 2 and counted.first()["a.b"] == "k"
+    back = sentencepiece_codec.decode_documents(sentencepiece_codec.encode_documents(rows)).first()
+    assert back.decoded == "the end" and len(back.ids) == 2 and "IDS" not in back.__fields__
+    assert fingerprint.fingerprint_documents(rows).first().fingerprint == fingerprint.fingerprint_text("the end")
+    page = html_extract.extract_pages(rows).first()
+    assert (page.text, page.n_chars, page.n_tokens) == ("h", 1, -1) and "html" not in page.__fields__
+    assert sentencepiece_codec.digest_documents(rows, ["n_tokens", "doc_id"]).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"]
+
+
 def test_character_map_takes_the_longest_prefix():
     """A double array made by hand: keys 'a' -> 'x' and 'ab' -> 'yz'."""
     import struct

@@ -7,8 +7,8 @@ leaves open then inherit the label of the nearest decided neighbours in the seco
 where it holds most of the text.
 
 Defined results: null or empty html gives an empty text; a page without a closing tag, with stray
-'<' or with unclosed quotes is read as far as it goes; equal rows give equal rows; columns of any
-other name pass through ``extract_pages`` untouched, and a clashing output name is an error of Spark.
+'<' or with unclosed quotes is read as far as it goes; a very long page is one row like others; equal rows give equal rows; an empty table
+gives an empty table. ``extract_pages`` keeps all columns but the html and those of its own names, which it replaces.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_struct
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)
       | <(?P<raw>script|style|title|textarea|noscript|template|iframe|svg|math|xmp)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)
@@ -319,7 +321,7 @@ def _inherit(blocks: list[Block]) -> None:
             continue
         decided = [j for j in near[k] if j is not None]
         if not decided:
-            labels[k] = "good" if stop_density(b.text) > 0 else "bad"
+            labels[k] = "good"  # nothing speaks against it
         elif b.tag in HEADINGS and near[k][1] is not None:
             labels[k] = blocks[near[k][1]].label
         else:
@@ -339,11 +341,10 @@ def main_text(page: str | None, rules: Rules = Rules()) -> tuple[str, int, int]:
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", rules: Rules = Rules()) -> DataFrame:
-    """``pages`` without its html, with text, n_chars, n_kept_blocks and n_blocks.
+    """``pages`` without its html, with text, n_chars, n_kept_blocks and n_blocks in place of columns of these names.
 
     No shuffle: each page is handled where it is read.
     """
-    rest = [c for c in pages.columns if c != html_col]
 
     @F.pandas_udf("text string, n_chars long, n_kept_blocks long, n_blocks long")
     def extract(htmls: pd.Series) -> pd.DataFrame:
@@ -352,6 +353,4 @@ def extract_pages(pages: DataFrame, html_col: str = "html", rules: Rules = Rules
             {"text": [r[0] for r in rows], "n_chars": [len(r[0]) for r in rows], "n_kept_blocks": [r[1] for r in rows], "n_blocks": [r[2] for r in rows]}
         )
 
-    q = lambda c: F.col(f"`{c}`")
-    return pages.select(*[q(c) for c in rest], extract(q(html_col)).alias("_main")).select(*[q(c) for c in rest], "_main.*")
-
+    return with_struct(pages, extract(F.col(f"`{html_col}`")), drop=(html_col,))

@@ -7,7 +7,9 @@ when the model is loaded); units are encoded once and remembered, up to ``CACHE_
 and a document's pieces are its units' pieces in a row. Decoding goes from ids alone.
 
 Defined results: a null text counts as empty, which has no ids; ill-formed input can't occur (texts
-are UTF-8); very long texts are only longer lists of units; repeated rows give repeated results.
+are UTF-8); very long texts are only longer lists of units; repeated rows give repeated results; an empty table gives an
+empty table. ``encode_documents`` and ``decode_documents`` keep all columns but those of their own names, which they replace;
+``digest_documents`` keeps the id columns that it is told, but those of its own names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer_path
+from .common import default_tokenizer_path, with_struct
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -345,8 +347,7 @@ def encode_documents(df: DataFrame, text_col: str = "text", path: str | None = N
         rows = [codec(path).encode(t) for t in texts]
         return pd.DataFrame({"ids": [r.ids for r in rows], "pieces": [r.pieces for r in rows], "begins": [[a for a, _ in r.spans] for r in rows], "ends": [[b for _, b in r.spans] for r in rows]})
 
-    q = lambda c: F.col(f"`{c}`")
-    return df.select(*[q(c) for c in df.columns], encode(q(text_col)).alias("_sp")).select(*[q(c) for c in df.columns], "_sp.*")
+    return with_struct(df, encode(F.col(f"`{text_col}`")))
 
 
 def decode_documents(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -357,7 +358,7 @@ def decode_documents(df: DataFrame, ids_col: str = "ids", out_col: str = "decode
     def decode(ids: pd.Series) -> pd.Series:
         return ids.map(lambda x: codec(path).decode([int(i) for i in x]) if x is not None else "")
 
-    return df.withColumn(out_col, decode(F.col(f"`{ids_col}`")))
+    return with_struct(df, F.struct(decode(F.col(f"`{ids_col}`")).alias(out_col)))
 
 
 def digest_documents(df: DataFrame, id_cols: list[str], text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -369,5 +370,7 @@ def digest_documents(df: DataFrame, id_cols: list[str], text_col: str = "text",
         c = codec(path)
         return pd.DataFrame(c.digests(list(texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
 
-    q = lambda c: F.col(f"`{c}`")
-    return df.select(*[q(c) for c in id_cols], digest(q(text_col)).alias("_sp")).select(*[q(c) for c in id_cols], "_sp.*")
+    found = digest(F.col(f"`{text_col}`")).alias("found")
+    own = ("n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in id_cols if c.lower() not in own]).alias("ids"), found)
+    return rows.select("ids.*", "found.*")

@@ -12,7 +12,8 @@ rank is the count of the slices before its own plus its place in its slice.
 
 Defined results: a null source is a source of its own; null texts count no bytes; rows that are
 equal in all of id, source and text may change places with each other, which changes nothing; an
-empty table gives an empty table; other columns pass through.
+empty table gives an empty table; very long texts are only read for their size and checksum, where they lie; other columns,
+whatever their names, are left out.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ into pre-tokens; those in the proved set count one each without a merge, only th
 (and remembered, up to ``CACHE`` a worker).
 
 Defined results: a null text counts as empty, with no token; the strings of special tokens inside a
-text count one each, as the library's default has it; repeated rows give repeated results.
+text count one each, as the library's default has it; repeated rows give repeated results; a very long text is one row, its
+pre-tokens counted by kind; an empty table gives an empty table. ``count_tokens`` keeps all columns but those of its own names, which it replaces.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer_path
+from .common import default_tokenizer_path, with_struct
 
 VOCABULARY = "byte_bpe_50k.json"
 CACHE = 200_000
@@ -131,7 +132,7 @@ def counts(path: str) -> Counts:
 
 
 def count_tokens(df: DataFrame, text_col: str = "text", limit: int = 512, path: str | None = None) -> DataFrame:
-    """``df`` with n_bytes, n_tokens and over_limit (n_tokens > limit) of each text; no shuffle."""
+    """``df`` with n_bytes, n_tokens and over_limit (n_tokens > limit) of each text, in place of columns of these names; no shuffle."""
     path = path or default_tokenizer_path(VOCABULARY)
 
     @F.pandas_udf("bigint")
@@ -140,8 +141,5 @@ def count_tokens(df: DataFrame, text_col: str = "text", limit: int = 512, path:
         return pd.Series([c.count(t) for t in texts], dtype="int64")
 
     text = F.col(f"`{text_col}`")
-    return (
-        df.withColumn("n_bytes", F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"))
-        .withColumn("n_tokens", tokens(text))
-        .withColumn("over_limit", F.col("n_tokens") > limit)
-    )
+    n = tokens(text)
+    return with_struct(df, F.struct(F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint").alias("n_bytes"), n.alias("n_tokens"), (n > limit).alias("over_limit")))
