@@ -16,8 +16,7 @@ from waygraph.llm.common import cut
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the models of all languages reject go, and those without a letter."""
-    model = langid.train(docs)
-    return langid.identify(docs, model).where("not rejected").select(*docs.columns)
+    return langid.without_rejected(docs, langid.train(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +47,7 @@ STAGES = [
     ("sentencepiece", sentencepiece),
 ]
 
-#: The models and the tokens of the first and last stages have no SQL; tests hold run() against a brute-force version.
+#: The models and the tokens of the first and last stages have no SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
