@@ -31,12 +31,11 @@ def _inverse(x: str, y: str) -> tuple[str, str]:
     return lat, f"cast(round(degrees({x} / {MERCATOR_RADIUS}) * 1e6) as int)"
 
 
-def _network(small: bool = False) -> str:
+def _network() -> str:
     """The steps from tables to edges, as common table expressions."""
-    only = " where way_id % 10 = 0" if small else ""
     return f"""
-ways as (select * from ({D.WAYS}) w{only}),
-refs as (select * from ({D.REFS}) r{only}),
+ways as ({D.WAYS}),
+refs as ({D.REFS}),
 nodes as ({D.NODES}),
 roads as (
   select way_id, {_LEVEL} as road_level,
@@ -87,21 +86,32 @@ lines as (
   from numbered e join nodes a on a.id = e.src join nodes b on b.id = e.dst)"""
 
 
-def _q(*parts: str, small: bool = False, recursive: bool = False) -> str:
+def _q(*parts: str, recursive: bool = False) -> str:
     *ctes, last = parts
-    return f"with {'recursive ' if recursive else ''}{', '.join([_network(small), *ctes])}\n{last}"
+    return f"with {'recursive ' if recursive else ''}{', '.join([_network(), *ctes])}\n{last}"
 
 
+# the least label goes along the edges, until no label changes
 _WCC = """
 pairs as (select src as a, dst as b from kept union select dst, src from kept),
-linked(a, b) as (select a, a from pairs union select l.a, o.b from linked l join pairs o on o.a = l.b),
-wcc as (select a as node_id, min(b) as component_id from linked group by a)"""
+wcc(node_id, component_id) using key (node_id) as (
+  select distinct a, a from pairs
+  union
+  select p.b, min(w.component_id) from wcc w join pairs p on p.a = w.node_id join recurring.wcc k on k.node_id = p.b
+  where w.component_id < k.component_id group by p.b)"""
+# a node of many edges and all that it reaches and is reached by; the closure of what is left gives the other components
 _SCC = """
-ways_on(a, b) as (select src, dst from kept union select w.a, k.dst from ways_on w join kept k on k.src = w.b),
 every as (select src as node_id from kept union select dst from kept),
+hub as (select node_id from every order by (select count(*) from kept where src = node_id) * (select count(*) from kept where dst = node_id) desc, node_id limit 1),
+ahead(node_id) as (select node_id from hub union select k.dst from ahead a join kept k on k.src = a.node_id),
+behind(node_id) as (select node_id from hub union select k.src from behind b join kept k on k.dst = b.node_id),
+main as (select node_id from ahead intersect select node_id from behind),
+rest as (select src, dst from kept where src not in (select node_id from main) and dst not in (select node_id from main)),
+ways_on(a, b) as (select src, dst from rest union select w.a, r.dst from ways_on w join rest r on r.src = w.b),
+mutual as (select x.a, min(x.b) as b from ways_on x join ways_on y on y.a = x.b and y.b = x.a group by x.a),
 scc as (
-  select n.node_id, least(n.node_id, coalesce(min(m.b), n.node_id)) as component_id
-  from every n left join (select x.a, x.b from ways_on x join ways_on y on y.a = x.b and y.b = x.a) m on m.a = n.node_id group by n.node_id),
+  select n.node_id, case when n.node_id in (select node_id from main) then (select min(node_id) from main) else least(n.node_id, coalesce(m.b, n.node_id)) end as component_id
+  from every n left join mutual m on m.a = n.node_id),
 dead as (
   select k.dst as src, k.src as dst, k.road_level, k.distance from kept k join scc a on a.node_id = k.src join scc b on b.node_id = k.dst where a.component_id <> b.component_id)"""
 _LINKS = f"""
@@ -158,7 +168,8 @@ spot as (
     from nearest n join points p on p.point_id = n.point_id join lines l on l.edge_id = n.edge_id) n),
 far as (select *, sqrt((nx - x1) * (nx - x1) + (ny - y1) * (ny - y1)) as d1, sqrt((nx - x2) * (nx - x2) + (ny - y2) * (ny - y2)) as d2 from spot)"""
 
-_ORIGINS = "origins as (select distinct src as start from kept order by src limit 5)"
+_GOALS = "goals as (select node_id as goal from (select src as node_id from kept union select dst from kept) g)"
+_ORIGINS = "origins as (select goal as start from goals where goal % 50 = 0)"
 _DIST = """
 dist(origin, node, d) using key (origin, node) as (
   select start, start, cast(0 as bigint) from origins
@@ -167,7 +178,6 @@ dist(origin, node, d) using key (origin, node) as (
   from dist s join kept e on e.src = s.node left join recurring.dist k on k.origin = s.origin and k.node = e.dst
   where k.d is null or s.d + e.distance < k.d
   group by s.origin, e.dst)"""
-_GOALS = "goals as (select node_id as goal from (select src as node_id from kept union select dst from kept) g)"
 
 _REQ = f"req as ({D.REQUESTS})"
 
@@ -220,11 +230,11 @@ ORACLES = {
     "vertices": _q("select * from used"),
     "incomplete_ways": _q("select way_id, count(*) as n_missing from rr where node_id not in (select id from nodes where id % 11 <> 0) group by way_id"),
     "reachable_nodes": _q(_reach(), "select node_id from reach", recursive=True),
-    "weak_components": _q(_reach(), _WCC, "select * from wcc", small=True, recursive=True),
-    "scc": _q(_reach(), _SCC, "select * from scc", small=True, recursive=True),
-    "dead_end_edges": _q(_reach(), _SCC, "select * from dead", small=True, recursive=True),
-    "component_links": _q(_reach(), _WCC, _LINKS, "select * from links", small=True, recursive=True),
-    "repaired_edges": _q(_reach(), _SCC, _WCC, _LINKS, "select * from kept union all select * from dead union all select * from links", small=True, recursive=True),
+    "weak_components": _q(_reach(), _WCC, "select * from wcc", recursive=True),
+    "scc": _q(_reach(), _SCC, "select * from scc", recursive=True),
+    "dead_end_edges": _q(_reach(), _SCC, "select * from dead", recursive=True),
+    "component_links": _q(_reach(), _WCC, _LINKS, "select * from links", recursive=True),
+    "repaired_edges": _q(_reach(), _SCC, _WCC, _LINKS, "select * from kept union all select * from dead union all select * from links", recursive=True),
     "mercator": _q(f"select id, round({_x('lon_udeg')}, 2) as x, round({_y('lat_udeg')}, 2) as y from nodes"),
     "inverse_mercator": _q(f"select id, {_LAT} as lat_udeg, {_LON} as lon_udeg from nodes"),
     "bbox_edges": _q(
@@ -256,17 +266,13 @@ ORACLES = {
     ),
     "delta_encode": _q("select id, cast(lat_udeg as bigint) - coalesce(lag(lat_udeg) over (order by id), 0) as delta from used"),
     "delta_decode": _q("select id, cast(lat_udeg as bigint) as value from used"),
-    "shortest_distance": _q(_reach(), _ORIGINS, _DIST, "select origin as start, node as goal, d as distance from dist", recursive=True),
+    "shortest_distance": _q(_reach(), _GOALS, _ORIGINS, _DIST, "select origin as start, node as goal, d as distance from dist", recursive=True),
     "distance_matrix": _q(
-        _reach(), _ORIGINS, _DIST, _GOALS,
-        "select o.start, g.goal, coalesce(d.d, 0) as distance from origins o cross join goals g left join dist d on d.origin = o.start and d.node = g.goal where g.goal % 50 = 0",
-        recursive=True,
-    ),
-    "shortest_path_points": _q(
-        _reach(), _ORIGINS, _DIST, _GOALS,
-        "select d.origin as start, d.node as goal, d.d as distance, d.d as walked from dist d join goals g on g.goal = d.node where g.goal % 50 = 0",
+        _reach(), _GOALS, _ORIGINS, _DIST,
+        "select o.start, g.goal, coalesce(d.d, 0) as distance from origins o cross join goals g left join dist d on d.origin = o.start and d.node = g.goal",
         recursive=True,
     ),
+    "shortest_path_points": _q(_reach(), _GOALS, _ORIGINS, _DIST, "select origin as start, node as goal, d as distance, d as walked from dist", recursive=True),
     "coords_format": f"with {_REQ} select request_id, {_decimal('lon_a')} || ',' || {_decimal('lat_a')} || ';' || {_decimal('lon_b')} || ',' || {_decimal('lat_b')} as coordinates from req",
     "coords_parse": f"with {_REQ} select request_id, cast(0 as bigint) as seq, cast(lat_a as int) as lat_udeg, cast(lon_a as int) as lon_udeg from req"
     " union all select request_id, 1, cast(lat_b as int), cast(lon_b as int) from req",
