@@ -14,10 +14,13 @@ log = logging.getLogger("waygraph")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder (spark.checkpoint.dir); one is made only where none is set."""
+    """``df`` written to the session's checkpoint folder (spark.checkpoint.dir); one is made only where none is set, on one machine."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="ckpt-"))
     return df.checkpoint(eager=True)
 
 
