@@ -6,6 +6,7 @@ from math import pi
 
 from ..functions.geo import EARTH_RADIUS, MERCATOR_RADIUS
 from ..functions.tags import CLOSED, ROAD_LEVELS
+from ..functions.text import SIP_START
 from . import derived as D
 
 _LEVEL = "case " + " ".join(f"when highway in ({', '.join(repr(v) for v in vs)}) then {k}" for k, vs in ROAD_LEVELS.items()) + " end"
@@ -78,14 +79,17 @@ reach(node_id) as (
 kept as (select * from edges where src in (select node_id from reach) and dst in (select node_id from reach))"""
 
 
-_LINES = f"""
-numbered as (select row_number() over (order by src, dst) - 1 as edge_id, * from edges),
+def _lines(edges: str) -> str:
+    return f"""
+numbered as (select row_number() over (order by src, dst) - 1 as edge_id, * from {edges}),
 lines as (
   select e.*, a.lat_udeg as lat1, a.lon_udeg as lon1, b.lat_udeg as lat2, b.lon_udeg as lon2,
     {_x('a.lon_udeg')} as x1, {_y('a.lat_udeg')} as y1, {_x('b.lon_udeg')} as x2, {_y('b.lat_udeg')} as y2
   from numbered e join nodes a on a.id = e.src join nodes b on b.id = e.dst)"""
 
 
+_LINES = _lines("edges")
+
 def _q(*parts: str, recursive: bool = False) -> str:
     *ctes, last = parts
     return f"with {'recursive ' if recursive else ''}{', '.join([_network(), *ctes])}\n{last}"
@@ -137,17 +141,54 @@ def _zeros(element: str) -> str:
 
 
 _BOX = "least(x1, x2) <= -5130000.0 and greatest(x1, x2) >= -5187000.0 and least(y1, y2) <= -2650000.0 and greatest(y1, y2) >= -2690000.0"
-_SAMPLE = f"""
-boxed as (select *, {_zeros('edge_id')} as zeros from lines where {_BOX}),
+_BOXED = f"boxed as (select *, {_zeros('edge_id')} as zeros from lines where {_BOX})"
+_SAMPLE = """
 levels as (select road_level, 500 - coalesce(sum(count(*)) over (order by road_level rows between unbounded preceding and 1 preceding), 0) as budget from boxed group by road_level),
 counts as (select b.road_level, zeros, budget, count(*) as n from boxed b join levels l on l.road_level = b.road_level where budget > 0 group by all),
 running as (select *, sum(n) over (partition by road_level order by zeros desc) as upto from counts),
 cuts as (select road_level, coalesce(max(case when upto > budget then zeros end), -1) + 1 as k from running group by road_level),
 sampled as (select b.* from boxed b join cuts c on c.road_level = b.road_level where zeros >= k)"""
 
+
+def _sip() -> str:
+    """``boxed`` with zeros of the SipHash-1-3 of the edge's number, a step of arithmetic modulo 2**64 at a time."""
+    ctes, k = [], 0
+
+    def step(old: str, **new: str) -> str:
+        nonlocal k
+        k += 1
+        kept = [v for v in ("v0", "v1", "v2", "v3") if v not in new]
+        ctes.append(f"sip{k} as (select edge_id, {', '.join([*kept, *(f'{e} as {v}' for v, e in new.items())])} from {old})")
+        return f"sip{k}"
+
+    big = 1 << 64
+    add = lambda a, b: f"cast((cast({a} as uhugeint) + cast({b} as uhugeint)) % {big} as ubigint)"
+    rot = lambda x, b: f"cast((cast({x} as uhugeint) * {1 << b}) % {big} + {x} // {1 << (64 - b)} as ubigint)"
+    at = "(select edge_id, " + ", ".join(f"cast('{w}' as ubigint) as v{i}" for i, w in enumerate(SIP_START)) + f" from lines where {_BOX}) l"
+    for block in ("cast(edge_id as ubigint)", f"cast('{8 << 56}' as ubigint)"):
+        at = step(at, v3=f"xor(v3, {block})")
+        at = _sip_round(step, add, rot, at)
+        at = step(at, v0=f"xor(v0, {block})")
+    at = step(at, v2="xor(v2, cast(255 as ubigint))")
+    for _ in range(3):
+        at = _sip_round(step, add, rot, at)
+    ctes.append(f"hashed as (select edge_id, xor(xor(v0, v1), xor(v2, v3)) as h from {at})")
+    ctes.append("boxed as (select l.*, case when h = 0 then 64 else bit_count(xor(h, h - 1)) - 1 end as zeros from lines l join hashed x on x.edge_id = l.edge_id)")
+    return ",\n".join(ctes)
+
+
+def _sip_round(step, add, rot, at: str) -> str:
+    at = step(at, v0=add("v0", "v1"), v2=add("v2", "v3"))
+    at = step(at, v1=f"xor({rot('v1', 13)}, v0)", v3=f"xor({rot('v3', 16)}, v2)")
+    at = step(at, v0=rot("v0", 32))
+    at = step(at, v0=add("v0", "v3"), v2=add("v2", "v1"))
+    at = step(at, v3=f"xor({rot('v3', 21)}, v0)", v1=f"xor({rot('v1', 17)}, v2)")
+    return step(at, v2=rot("v2", 32))
+
+
 _T = "case when len2 = 0 then 0 else least(greatest(((px - lx1) * (lx2 - lx1) + (py - ly1) * (ly2 - ly1)) / len2, 0), 1) end"
+_POINTS = f"points as (select request_id as point_id, cast(lat_a as int) as lat, cast(lon_a as int) as lon, {_x('lon_a')} as px, {_y('lat_a')} as py from ({D.REQUESTS}) r)"
 _NEAREST = f"""
-points as (select request_id as point_id, cast(lat_a as int) as lat, cast(lon_a as int) as lon, {_x('lon_a')} as px, {_y('lat_a')} as py from ({D.REQUESTS}) r),
 turned as (
   select *, (lx2 - lx1) * (lx2 - lx1) + (ly2 - ly1) * (ly2 - ly1) as len2 from (
     select edge_id, x1, y1, x2, y2, case when src > dst then x2 else x1 end as lx1, case when src > dst then y2 else y1 end as ly1,
@@ -196,6 +237,37 @@ def _letters(v: str) -> str:
     return "(" + " || ".join(parts) + ")"
 
 
+# requests over the repaired network: both points of each, their edges, a path from the end of the first edge to the start of the second
+_ROUTE = f"""
+asked as (
+  select request_id, seq, lat, lon, 2 * request_id + seq as point_id, {_x('lon')} as px, {_y('lat')} as py from (
+    select request_id, 0 as seq, cast(lat_a as int) as lat, cast(lon_a as int) as lon from req where request_id % 50 = 0
+    union all select request_id, 1, cast(lat_b as int), cast(lon_b as int) from req where request_id % 50 = 0) p),
+points as (select point_id, px, py from asked),"""
+_LEGS = f"""
+stops as (
+  select a.request_id, a.seq, a.lat, a.lon, f.edge_id, l.src, l.dst, l.distance, {_PLAT} as plat, {_PLON} as plon,
+    coalesce(cast(case when f.d1 + f.d2 > 0 then f.d1 / (f.d1 + f.d2) end as float), cast(-1 as float)) as pos
+  from asked a join far f on f.point_id = a.point_id join lines l on l.edge_id = f.edge_id),
+legs as (
+  select a.request_id, a.dst as start, b.src as goal, a.plat as alat, a.plon as alon, b.plat as blat, b.plon as blon,
+    case when a.pos < 0 then 0 else cast(trunc(cast(a.distance as float) * (cast(1 as float) - a.pos)) as bigint) end as head,
+    case when b.pos < 0 then 0 else cast(trunc(cast(b.distance as float) * b.pos) as bigint) end as tail,
+    {_hav('a.plat', 'a.plon', 'a.lat', 'a.lon')} as afar, {_hav('b.plat', 'b.plon', 'b.lat', 'b.lon')} as bfar
+  from stops a join stops b on b.request_id = a.request_id and a.seq = 0 and b.seq = 1),
+origins as (select distinct start from legs)"""
+_WALK = """
+before as materialized (
+  select w.origin, w.node, min(v.node) as prev from dist w join fixed e on e.dst = w.node join dist v on v.origin = w.origin and v.node = e.src
+  where v.d + e.distance = w.d and w.node <> w.origin group by 1, 2),
+walk(request_id, start, node, k) as (
+  select request_id, start, goal, 0 from legs where exists (select * from dist where origin = start and node = goal)
+  union all select w.request_id, w.start, b.prev, w.k + 1 from walk w join before b on b.origin = w.start and b.node = w.node),
+drawn as (
+  select w.request_id, -k as k, lat_udeg as lat, lon_udeg as lon from walk w join nodes n on n.id = w.node
+  union all select request_id, -1000000, alat, alon from legs union all select request_id, 1, blat, blon from legs),
+five as (select request_id, k, cast(round(lat / 10.0) as bigint) as lat, cast(round(lon / 10.0) as bigint) as lon from drawn),
+deltas as (select request_id, k, lat - coalesce(lag(lat) over w, 0) as a, lon - coalesce(lag(lon) over w, 0) as o from five window w as (partition by request_id order by k)),"""
 _FIVE = ", ".join(f"cast(round({c} / 10.0) as bigint) as {c}" for c in ("lat_a", "lon_a", "lat_b", "lon_b"))
 
 
@@ -243,12 +315,13 @@ ORACLES = {
         " and greatest(x1, x2) >= least(bx1, bx2) and least(y1, y2) <= greatest(by1, by2) and greatest(y1, y2) >= least(by1, by2) group by box_id",
     ),
     "edge_info": _q(_LINES, "select edge_id, src, dst, road_level, distance, lat1, lon1, lat2, lon2 from lines"),
-    "nearest_edge": _q(_LINES, _NEAREST, "select * from nearest"),
+    "nearest_edge": _q(_LINES, _POINTS, _NEAREST, "select * from nearest"),
     "projected_points": _q(
-        _LINES, _NEAREST, _PROJECTED,
+        _LINES, _POINTS, _NEAREST, _PROJECTED,
         f"select point_id, edge_id, {_PLAT} as proj_lat_udeg, {_PLON} as proj_lon_udeg, round(cast(cast(case when d1 + d2 > 0 then d1 / (d1 + d2) end as float) as double), 3) as edge_pos from far",
     ),
-    "sample_edges": _q(_LINES, _SAMPLE, "select edge_id, road_level from sampled"),
+    "sample_edges": _q(_LINES, _BOXED, _SAMPLE, "select edge_id, road_level from sampled"),
+    "sample_edges_sip": _q(_LINES, _sip(), _SAMPLE, "select road_level, row_number() over (partition by road_level order by edge_id) - 1 as place, edge_id from sampled"),
     "sample_priority_counts": _q(
         "select * from (select -road_level as priority, count(*) as n, cast(20000 - coalesce(sum(count(*)) over (order by road_level rows between unbounded preceding and 1 preceding), 0) as bigint) as budget"
         " from edges group by road_level) b where budget > 0"
@@ -258,7 +331,11 @@ ORACLES = {
         "c as (select zeros, sum(count(*)) over (order by zeros desc) as upto from z group by zeros)",
         "select node_id from z where zeros > coalesce((select max(zeros) from c where upto > 300), -1)",
     ),
-    "drawn_lines": _q(_LINES, _SAMPLE, "select road_level, cast(3 * count(*) as int) as n_x, cast(3 * count(*) as int) as n_y from sampled group by road_level"),
+    "drawn_lines": _q(
+        _LINES, _BOXED, _SAMPLE, "o as (select *, 3 * (row_number() over (partition by road_level order by edge_id) - 1) as k from sampled)",
+        "select road_level, k as place, round(x1, 2) as x, round(y1, 2) as y from o union all select road_level, k + 1, round(x2, 2), round(y2, 2) from o"
+        " union all select road_level, k + 2, null, null from o",
+    ),
     "dense_offset": _q("select node_id, row_number() over (order by node_id) - 1 as place from usage"),
     "index_remap": _q(
         "v as (select id, row_number() over (order by lat_udeg, lon_udeg, id) - 1 as new_id from used)",
@@ -273,6 +350,18 @@ ORACLES = {
         recursive=True,
     ),
     "shortest_path_points": _q(_reach(), _GOALS, _ORIGINS, _DIST, "select origin as start, node as goal, d as distance, d as walked from dist", recursive=True),
+    "route_json": _q(
+        _reach(), _SCC, _WCC, _LINKS, "fixed as (select * from kept union all select * from dead union all select * from links)", _lines("fixed"), _REQ,
+        _ROUTE + _NEAREST, _PROJECTED, _LEGS, _DIST.replace("join kept e", "join fixed e"),
+        _WALK + f"""
+geometry as (select request_id, string_agg({_letters('a')} || {_letters('o')}, '' order by k) as geometry from deltas group by request_id)""",
+        """select l.request_id, d.d + l.head + l.tail as distance, case when d.d is not null then g.geometry end as geometry,
+  case when d.d is null then 'no route' end as error, w.seq, case when d.d is not null then w.lat end as lat_udeg, case when d.d is not null then w.lon end as lon_udeg,
+  case when d.d is not null then round(w.far, 2) end as metres
+from legs l left join dist d on d.origin = l.start and d.node = l.goal join geometry g on g.request_id = l.request_id
+join (select request_id, cast(0 as bigint) as seq, alat as lat, alon as lon, afar as far from legs union all select request_id, 1, blat, blon, bfar from legs) w on w.request_id = l.request_id""",
+        recursive=True,
+    ),
     "coords_format": f"with {_REQ} select request_id, {_decimal('lon_a')} || ',' || {_decimal('lat_a')} || ';' || {_decimal('lon_b')} || ',' || {_decimal('lat_b')} as coordinates from req",
     "coords_parse": f"with {_REQ} select request_id, cast(0 as bigint) as seq, cast(lat_a as int) as lat_udeg, cast(lon_a as int) as lon_udeg from req"
     " union all select request_id, 1, cast(lat_b as int), cast(lon_b as int) from req",

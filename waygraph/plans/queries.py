@@ -180,7 +180,9 @@ def sample_edges(spark, sf_dir):
 
 
 def sample_edges_sip(spark, sf_dir):
-    return sampling.by_level(sampling.sample_edges(_lines(spark, sf_dir)[0], BOX, MAX_EDGES, sip=True))
+    grouped = sampling.by_level(sampling.sample_edges(_lines(spark, sf_dir)[0], BOX, MAX_EDGES, sip=True))
+    rows = grouped.select("road_level", F.posexplode("edges").alias("place", "edge_id"))
+    return rows.select("road_level", F.col("place").cast("bigint").alias("place"), "edge_id")
 
 
 def sample_priority_counts(spark, sf_dir):
@@ -194,7 +196,9 @@ def sample_nodes(spark, sf_dir):
 
 def drawn_lines(spark, sf_dir):
     drawn = sampling.drawn_by_level(sampling.sample_edges(_lines(spark, sf_dir)[0], BOX, MAX_EDGES))
-    return drawn.select("road_level", F.size("x").alias("n_x"), F.size("y").alias("n_y"))
+    rows = drawn.select("road_level", F.posexplode(F.arrays_zip("x", "y")).alias("place", "p"))
+    at = lambda c: F.round(F.nanvl(f"p.{c}", F.lit(None)), 2).alias(c)  # noqa: E731  null between lines
+    return rows.select("road_level", F.col("place").cast("bigint").alias("place"), at("x"), at("y"))
 
 
 # --- storage order -------------------------------------------------------------------------------------
@@ -260,7 +264,23 @@ def shortest_path_points(spark, sf_dir):
     return walked.unionByName(zero)
 
 
+_RESPONSE = "struct<waypoints:array<struct<location:array<double>,distance:double>>,routes:array<struct<distance:bigint,geometry:string>>>"
+
+
 def route_json(spark, sf_dir):
+    """What the JSON answers say, a row a waypoint."""
+    answers = route_answers(spark, sf_dir).select("request_id", "error", F.from_json("response", _RESPONSE).alias("r"))
+    rows = answers.select("request_id", "error", F.col("r.routes")[0].alias("route"), F.posexplode_outer("r.waypoints").alias("seq", "w"))
+    unanswered = rows.where("seq is null").withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = rows.where("seq is not null").unionByName(unanswered)
+    udeg = lambda k: F.round(F.col("w.location")[k] * 1e6).cast("int")
+    return rows.select(
+        "request_id", "route.distance", "route.geometry", "error", F.col("seq").cast("bigint").alias("seq"),
+        udeg(1).alias("lat_udeg"), udeg(0).alias("lon_udeg"), F.round("w.distance", 2).alias("metres"),
+    )
+
+
+def route_answers(spark, sf_dir):
     edges, p = _edges(spark, sf_dir)
     edges = cut(edges)
     repaired = cut(graph.repair(cut(graph.retain_reachable(edges)), p["nodes"]))
