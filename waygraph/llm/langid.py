@@ -32,8 +32,8 @@ from .common import bounded, cut, with_struct
 ORDER = 4
 DISCOUNT = 0.75
 MAX_DOCS, MAX_CHARS = 400, 1_500_000
-#: Parts of a language that are cut down to MAX_DOCS rows apart, so that no task ranks all that the tasks before pass on.
-SALTS = 64
+#: Times MAX_DOCS: rows of a language that are expected to be ranked.
+SPARE = 4
 #: Letters that the models tell apart; all others share one code.
 LETTERS = 4000
 _OTHER, _EDGE = 1, 0
@@ -324,19 +324,26 @@ def ngram_counts(texts: Iterator[tuple[str, str]]) -> pd.DataFrame:
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> Model:
     """Fits and calibrates a model on the rows of ``labelled`` that have a text and a language.
 
-    The choice takes the ``max_docs`` rows of each language with the least hash of their id (as a
-    top-k in three steps: of each task, of each of ``SALTS`` parts of a language, of the language), then, in that order,
-    rows until ``max_chars`` is reached. Every fifth chosen row is kept from the counts for the calibration.
+    The choice takes the ``max_docs`` rows of each language with the least hash of their id, then, in that order,
+    rows until ``max_chars`` is reached. Rows are counted first, so that only hashes below a bound that
+    ``SPARE`` times as many rows pass are ranked; should too few pass it (rows that repeat share a hash), all are ranked.
+    Every fifth chosen row is kept from the counts for the calibration.
     """
     q = lambda c: F.col(f"`{c}`")
     rows = labelled.where(q(text_col).isNotNull() & q(lang_col).isNotNull())
     slim = rows.select(q(id_col).alias("id"), q(lang_col).alias("lang"), F.length(q(text_col)).alias("len"), F.xxhash64(F.lit(11), q(id_col), F.length(q(text_col))).alias("h"))
-    salted = Window.partitionBy("lang", F.pmod(F.xxhash64(F.lit(12), "id"), F.lit(SALTS))).orderBy("h", "id")
-    slim = slim.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= max_docs).drop("r")
+    counts = cut(slim.groupBy("lang").agg(F.count("*").alias("n")))
     by = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = slim.withColumn("r", F.row_number().over(by)).where(F.col("r") <= max_docs)
-    chosen = chosen.withColumn("upto", F.sum("len").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    chosen = cut(chosen.where(F.coalesce("upto", F.lit(0)) < max_chars).select("id", F.col("lang").alias("_lang"), (F.col("r") % 5 == 0).alias("held")))
+    for spare in (SPARE, None):
+        ranked = slim
+        if spare:
+            below = F.shiftrightunsigned("h", 1) < F.lit(float(1 << 63)) * spare * max_docs / F.col("n")
+            ranked = slim.join(bounded(counts), "lang").where(below).drop("n")
+        ranked = ranked.withColumn("r", F.row_number().over(by)).where(F.col("r") <= max_docs)
+        ranked = cut(ranked.withColumn("upto", F.sum("len").over(by.rowsBetween(Window.unboundedPreceding, -1))))
+        if ranked.count() == counts.agg(F.sum(F.least("n", F.lit(max_docs)))).first()[0]:
+            break
+    chosen = cut(ranked.where(F.coalesce("upto", F.lit(0)) < max_chars).select("id", F.col("lang").alias("_lang"), (F.col("r") % 5 == 0).alias("held")))
     # at most max_docs rows a language; languages are counted before they are broadcast
     sample = rows.select(q(id_col).alias("id"), q(text_col).alias("text"), q(lang_col).alias("lang")).join(bounded(cut(chosen.dropDuplicates(["id"]))), "id").where("lang = _lang")
 

@@ -348,8 +348,10 @@ def keep_one_each(docs: DataFrame, words: int = 5, percent: int = 80, id_col: st
     Of a component whose rows all lack an id, one row stays. Documents without words are all kept, as they link with nothing.
     """
     found = cut(_labelled(docs, words, percent, id_col, text_col, BLOCK).where("class is not null").select("doc_id", "component_id", "label", "rk"))
-    kept = found.where("doc_id <=> component_id").groupBy("label").agg(F.min("rk").alias("keep"))
-    gone = cut(found.join(kept, "label").where("rk <> keep").select("rk").distinct())
+    # rows without the component's id go; of those with it (one, unless rows repeat their id or all lack one) one stays
+    heads = found.where("doc_id <=> component_id").select("label", "rk")
+    more = heads.join(heads.groupBy("label").agg(F.min("rk").alias("keep")), "label").where("rk <> keep").select("rk")
+    gone = cut(found.where("not (doc_id <=> component_id)").select("rk").unionByName(more).distinct())
     again = cut(found.groupBy("rk").agg(F.count("*").alias("n")).where("n > 1").select("rk"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(F.col(f"`{text_col}`").isNotNull(), _row_key(id_col, text_col)).alias("rk"))
     rows = rows.join(bounded(gone), "rk", "left_anti")
