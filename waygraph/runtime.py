@@ -34,6 +34,12 @@ def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if at_most(df, rows) else df
 
 
+def tasks(df: DataFrame) -> int:
+    """A fixed count, for work that is long for its bytes: partitions of a given number are not put together by size."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 @contextmanager
 def stage_timer(name: str):
     """Logs how long the block took."""
