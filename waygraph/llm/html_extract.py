@@ -52,6 +52,12 @@ OUT_WORDS = frozenset(
 )
 #: Readers' texts may be longer than the article: marked by these, an element needs a title or the article in it to count as the page.
 READER_WORDS = frozenset("comment comments commentlist disqus replies respond".split())
+#: A name of several parts with one of these is a phrase (notice-of-intent, side-by-side): only its last part says what it is.
+_PHRASE = frozenset("and as at by for from in of on or the to with".split())
+#: Blocks of exactly these words are labels of the page, not text of the article.
+LABELS = frozenset(
+    {"advertisement", "advertisements", "sponsored", "sponsored content", "read more", "continue reading", "share this", "share this article", "back to top", "skip to content"}
+)
 _NAME_PART = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -98,6 +104,17 @@ class Block:
     label: str = ""
 
 
+def _marks(value: str) -> set[str]:
+    """The words of a class or id value that say what the element is."""
+    found: set[str] = set()
+    for token in value.split():
+        parts = _NAME_PART.findall(_CAMEL.sub(" ", token).lower())
+        phrase = len(parts) > 2 and not _PHRASE.isdisjoint(parts)
+        if not (phrase and parts[-1] == parts[0]):  # side-by-side
+            found.update(parts[-1:] if phrase else parts)
+    return found
+
+
 def _is_out(name: str, attrs: str, inside: int) -> tuple[bool, Doubt | None]:
     """Whether an element is out for certain, and the doubt that its name or class raises."""
     if name in OUT_TAGS or name == "header" and not inside:
@@ -108,7 +125,7 @@ def _is_out(name: str, attrs: str, inside: int) -> tuple[bool, Doubt | None]:
     for m in _ATTR.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id"):
-            parts = _NAME_PART.findall(_CAMEL.sub(" ", value).lower())
+            parts = _marks(value)
             if name not in ("html", "body", "article", "main") and not OUT_WORDS.isdisjoint(parts) or (
                 name == "article" and not {"comment", "comments", "ad", "ads", "advert", "sponsored", "promo", "related"}.isdisjoint(parts)
             ):
@@ -262,7 +279,9 @@ def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
         elif container:  # beside the article only what is text beyond doubt
             b.label = "good" if len(b.text) > rules.long and id(b) in stops and (unlisted or stops[id(b)] >= rules.stop_high) else "bad"
             continue
-        if _density(b) > rules.max_link_density:
+        if b.text.strip(" .:…!").casefold() in LABELS:
+            b.label = "bad"
+        elif _density(b) > rules.max_link_density:
             b.label = "open" if inner and b.tag in HEADINGS else "bad"
         elif len(b.text) < rules.short:
             b.label = "open"
