@@ -126,6 +126,36 @@ def test_spans_and_extensions(x, y, i, j):
     assert a.back_extension(b, i, j) == m
 
 
+def sketch_by_brute_force(text):
+    """Each span hashed by itself from its code points, the least of each bin, as one byte."""
+    p, base, mask = fingerprint.PRIMES[0], fingerprint.BASES[0], (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    width = min(fingerprint.WIDTH, len(text))
+    least = {}
+    for i in range(len(text) - width + 1 if text else 0):
+        h = mix(sum((ord(c) + 1) * pow(base, k, p) for k, c in enumerate(text[i : i + width])) % p)
+        least[h >> 58] = min(least.get(h >> 58, mask), h)
+    return [1 + mix(least[k]) % 255 if k in least else 0 for k in range(fingerprint.BINS)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("abcdé 🙂", max_size=90), st.text("abcdé 🙂", max_size=40), st.integers(0, 90))
+def test_likeness_by_brute_force(x, y, i):
+    pair = [x, x[:i] + y + x[i:]]
+    prints = [fingerprint.fingerprint_text(t) for t in pair]
+    slow = [sketch_by_brute_force(t) for t in pair]
+    assert [list(bytes.fromhex(f.rpartition("-")[2])) for f in prints] == slow
+    assert (prints[0] == prints[1]) == (pair[0] == pair[1])
+    either = sum(a > 0 or b > 0 for a, b in zip(*slow))
+    j = max(0.0, (sum(a == b > 0 for a, b in zip(*slow)) / either - 1 / 255) / (1 - 1 / 255)) if either else 0.0
+    assert fingerprint.likeness(*prints) == (1.0 if pair[0] == pair[1] else round(2 * j / (1 + j), 6))
+
+
 def test_fingerprints_of_neighbours(spark):
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abcdefgh éß ") for _ in range(n))
@@ -172,6 +202,20 @@ def test_shards_are_even_and_mixed(spark):
     assert sorted(r.slot for r in few) == [0, 0, 0] and sharding.shard_documents(docs(spark, []), 16).count() == 0
 
 
+def test_ranks_by_brute_force(spark):
+    rows = [(k, f"text {k % 50}" if k % 7 else None, None, "hot" if k % 3 else f"s{k % 4}" if k % 2 else None, 0) for k in range(317)]
+    seed, shards = 5, 16
+    hashes = docs(spark, rows).select("doc_id", "source", F.xxhash64(F.lit(seed), "doc_id", F.crc32(F.coalesce("text", F.lit(""))), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint")).alias("h")).collect()
+    ranked = []
+    for source in {r.source for r in hashes}:
+        own = sorted((r.h % 4, r.h, r.doc_id) for r in hashes if r.source == source)  # four slices of the shuffle
+        ranked += [((2 * k + 1) / (2 * len(own)), source is not None, source or "", h, d) for k, (_, h, d) in enumerate(own)]
+    place = {r[-1]: k for k, r in enumerate(sorted(ranked))}
+    first = {s: min(k for k in range(len(rows)) if k * shards // len(rows) == s) for s in range(shards)}
+    want = {d: (k * shards // len(rows), k - first[k * shards // len(rows)]) for d, k in place.items()}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(docs(spark, rows), shards, seed).collect()} == want
+
+
 # --- chats
 
 TALK = [
@@ -370,6 +414,22 @@ def test_sentencepiece_as_the_library(text):
     assert at == (len(text.encode()) if ids else 0)
 
 
+@settings(max_examples=150, deadline=None)
+@given(ODD)
+def test_spans_as_the_library(text):
+    """The library's byte offsets; of a character in byte pieces it gives all to the last piece, here each has its own byte."""
+    path = default_tokenizer_path(sentencepiece_codec.MODEL)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.codec(path)
+    want = [(p.piece, p.begin, p.end) for p in library.encode(text, return_type="proto").pieces]
+    got = [(int(a), int(b)) for a, b in own.encode(text).spans]
+    assert len(want) == len(got)
+    for (piece, begin, end), (a, b) in zip(want, got):
+        if len(piece) == 6 and piece.startswith("<0x"):
+            assert begin <= b and a <= end or (begin, end) == (a, a) or begin == end <= a
+        else:
+            assert (begin, end) == (a, b)
+
+
 @settings(max_examples=150, deadline=None)
 @given(ODD)
 def test_counts_as_the_library(text):
