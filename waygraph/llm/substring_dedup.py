@@ -439,11 +439,27 @@ def removals(
     return base.drop("text"), copies.where("copies > 1").select("sha"), changed
 
 
+#: Places that the copies of one text are spread over when what is known of the text is joined to them.
+SALTS = 16
+
+
+def _known(copies: DataFrame, changed: DataFrame, columns: list[str]) -> DataFrame:
+    """sha, salt, whole and ``columns`` of the texts that lose something: one join, and so one shuffle, serves both kinds."""
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    whole = copies.select("sha", salts.alias("salt"), F.lit(True).alias("whole"))
+    part = changed.select("sha", _salt().alias("salt"), F.lit(False).alias("whole"), *columns)
+    return whole.unionByName(part, allowMissingColumns=True)
+
+
+def _salt() -> Column:
+    return F.pmod("rid", F.lit(SALTS).cast("bigint"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **options) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans and kept_sha256. Of the texts, only those with repeats are shuffled after the search."""
     marked, copies, changed = removals(docs, id_col, text_col, length, **options)
-    rows = marked.join(changed.drop("kept"), ["sha", "rid"], "left").join(copies.withColumn("whole", F.lit(True)), "sha", "left")
-    whole = F.col("whole").isNotNull()
+    rows = marked.withColumn("salt", _salt()).join(_known(copies, changed, ["n_removed", "n_spans", "kept_sha256"]), ["sha", "salt"], "left")
+    whole = F.coalesce("whole", F.lit(False))
     return rows.select(
         "doc_id",
         "n_bytes",
@@ -461,8 +477,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     _, copies, changed = removals(docs, id_col, text_col, length, **options)
     sha, _ = _identity(text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), sha.alias("sha"), F.col(f"`{id_col}`").cast("bigint").alias("doc_id"))
-    rows = rows.select("row", "sha", F.xxhash64("doc_id", "sha").alias("rid"))
-    rows = rows.join(changed.select("sha", "rid", "kept"), ["sha", "rid"], "left").join(copies.withColumn("whole", F.lit(True)), "sha", "left")
+    rows = rows.select("row", "sha", F.xxhash64("doc_id", "sha").alias("rid")).select("row", "sha", _salt().alias("salt"))
+    rows = rows.join(_known(copies, changed, ["kept"]), ["sha", "salt"], "left")
     of = lambda c: F.col("row").getField(c)
     text = F.when(F.col("whole"), F.lit("")).otherwise(F.coalesce("kept", of(text_col)))
     new = {text_col: text, chars_col: F.length(text).cast(docs.schema[chars_col].dataType) if chars_col in docs.columns else None}
