@@ -88,19 +88,19 @@ def removed(texts, n):
     return out
 
 
-@pytest.mark.parametrize("hot,block_bytes", [(4000, 1 << 20), (1, 500), (3, 2000)])
-def test_repeats_by_brute_force(spark, hot, block_bytes):
+@pytest.mark.parametrize("hot,block_bytes,hot_owners", [(4000, 1 << 20, 1000), (1, 500, 1000), (3, 2000, 8), (4000, 1 << 20, 0)])
+def test_repeats_by_brute_force(spark, hot, block_bytes, hot_owners):
     rng = random.Random(hot)
     part = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     passages = [part(rng.randrange(30, 120)) for _ in range(6)]
     texts = [None, "", part(39), "ab" * 300, "abc" * 20 + part(50) + "abc" * 20]
     texts += ["".join(rng.choice([part(rng.randrange(60)), rng.choice(passages)]) for _ in range(rng.randrange(1, 9))) for _ in range(120)]
     texts += [texts[20]] * 3 + [texts[21] + "z"]
-    got = substring_dedup.remove_repeats(docs(spark, texts), length=40, stretch=17, hot=hot, block_bytes=block_bytes).collect()
+    got = substring_dedup.remove_repeats(docs(spark, texts), length=40, stretch=17, hot=hot, block_bytes=block_bytes, hot_owners=hot_owners).collect()
     assert {r.doc_id: tuple(r)[1:] for r in got} == dict(enumerate(removed(texts, 40)))
 
 
-@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"hot_bytes": 60}, {"block_bytes": 1}])
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"hot_bytes": 60}, {"block_bytes": 1}, {"hot_owners": 2}])
 def test_any_byte_may_occur(spark, options):
     """NUL bytes: a text that holds the end of one text, a NUL and the start of another repeats neither."""
     rng = random.Random(5)

@@ -9,8 +9,9 @@
    Burrows-Wheeler transform; intervals of it are extended backwards, breadth first, so that common prefix lengths
    are found by increasing value; the search stops at LENGTH. Neighbours in suffix order that have no length by
    then share LENGTH bytes or more: their windows repeat. Contexts end with a symbol that is no byte, so that
-   nothing matches over a border. A key whose distinct contexts are too many (``HOT``) or too long (``HOT_BYTES``) to be
-   gathered is counted instead, window by window, by 128-bit BLAKE2b hashes of the windows' bytes.
+   nothing matches over a border. The runs of a key that more than ``HOT_OWNERS`` texts have (counted) are not gathered: their windows are
+   told by 128-bit BLAKE2b hashes of their bytes, which spread over all tasks; windows that a task has twice are settled there. The same goes
+   for a key whose distinct contexts turn out too many (``HOT``) or too long (``HOT_BYTES``) to be gathered.
 4. Removal. The covered bytes of each text are joined into spans and cut out.
 
 Copies of whole texts are found by SHA-256 first; one of them stands for all in steps 2 and 3, and all
@@ -33,9 +34,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, COMBINED, FLUSH_ROWS, combined, cut, partitions, prefix_hash, shared_keys, window_hashes
+from .common import CHUNK, COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, partitions, prefix_hash, shared_keys, window_hashes
 
 LENGTH, STRETCH = 200, 88
+#: Texts of one key whose runs are gathered at most.
+HOT_OWNERS = 1_000
 #: Distinct contexts of one key that are gathered at most, and their bytes.
 HOT, HOT_BYTES = 4_000, 2 << 20
 #: Bytes of a block, about.
@@ -105,41 +108,85 @@ def _anchors(length: int, stretch: int):
 
 
 _CONTEXTS = "key bigint, uid bigint, first bigint, size bigint, again boolean, context binary"
+_DIGEST = 16
 
 
-def _contexts(length: int, stretch: int, flush_bytes: int = 8_000_000):
-    """The runs of a text that its list of shared keys names, with their bytes.
+def _digests(context: bytes, length: int) -> list[bytes]:
+    """128 bits of BLAKE2b of each window."""
+    return [hashlib.blake2b(context[k : k + length], digest_size=_DIGEST).digest() for k in range(len(context) - length + 1)]
+
 
-    Runs that the task has seen with the same key and bytes go without them, under a key of their own: they repeat
-    for certain, as does the one that goes on, marked. However frequent a run, its key gets a row a flush.
+class _Held:
+    """Runs and windows of hot runs that a task has read and not passed on: each once, marked if it came again.
+
+    The places of what came again are settled: rows without bytes, under a key of their own.
     """
 
-    def frame_of(held: dict, settled: list[tuple]) -> pd.DataFrame:
-        rows = [(key, uid, first, len(context), again, context) for (key, context), (uid, first, again) in held.items()]
-        return pd.DataFrame(rows + settled, columns=["key", "uid", "first", "size", "again", "context"])
+    def __init__(self, length: int):
+        self.length, self.n_bytes = length, 0
+        self.runs: dict[tuple[int, bytes], tuple[int, int, bool, bool]] = {}
+        self.windows: dict[bytes, tuple[int, int, bool]] = {}
+        self.settled: list[tuple] = []
+
+    def settle(self, uid: int, first: int, size: int) -> None:
+        self.settled.append((uid + first, uid, first, size, True, None))
+
+    def add(self, key: int, context: bytes, uid: int, first: int, hot: bool) -> None:
+        known = self.runs.get((key, context))
+        if known is not None:
+            self.runs[key, context] = (*known[:2], True, hot)
+            self.settle(uid, first, len(context))
+            return
+        self.runs[key, context] = (uid, first, False, hot)
+        self.n_bytes += len(context)
+        if not hot:
+            return
+        came = np.zeros(len(context) - self.length + 1, bool)
+        for k, d in enumerate(_digests(context, self.length)):
+            if (w := self.windows.get(d)) is None:
+                self.windows[d] = (uid, first + k, False)
+            else:
+                came[k] = True
+                self.windows[d] = (*w[:2], True)
+        for a, b in zip(*_ranges(came)):
+            self.settle(uid, first + int(a), int(b - a) - 1 + self.length)
+
+    def full(self, flush_bytes: int) -> bool:
+        return self.n_bytes > flush_bytes or len(self.settled) > FLUSH_ROWS or len(self.windows) > FLUSH_ROWS // 5
+
+    def frame(self) -> pd.DataFrame:
+        rows = []
+        for (key, context), (uid, first, again, hot) in self.runs.items():
+            if not hot:
+                rows.append((key, uid, first, len(context), again, context))
+            elif again:
+                self.settle(uid, first, len(context))
+        for d, (uid, first, again) in self.windows.items():
+            rows.append((int.from_bytes(d[:8], "big", signed=True), uid, first, self.length, again, d))
+        return pd.DataFrame(rows + self.settled, columns=["key", "uid", "first", "size", "again", "context"])
+
+
+def _contexts(length: int, stretch: int, flush_bytes: int = 8_000_000):
+    """The runs of a text that its list of shared keys names, with their bytes, or the windows of runs of hot keys.
+
+    However frequent a run or a window, its key gets a row a flush.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[int, bytes], tuple[int, int, bool]] = {}
-        settled: list[tuple] = []
-        n_bytes = 0
+        held = _Held(length)
         for frame in frames:
-            for uid, text, shared in zip(frame["uid"], frame["text"], frame["shared"]):
+            for uid, text, shared, hot in zip(frame["uid"], frame["text"], frame["shared"], frame["hot"]):
                 data = text.encode("utf-8", "surrogatepass")
                 keys, first, last, _ = runs_of(data, length, stretch)
+                hot = set(map(int, hot))
                 for k in np.flatnonzero(np.isin(keys, np.asarray(shared, np.int64).view(np.uint64))):
-                    context, at = data[first[k] : last[k] + length], int(first[k])
-                    own = (int(keys[k : k + 1].view(np.int64)[0]), context)
-                    if (known := held.get(own)) is None:
-                        held[own] = (uid, at, False)
-                        n_bytes += len(context)
-                    else:
-                        held[own] = (*known[:2], True)
-                        settled.append((uid + at, uid, at, len(context), True, None))
-                    if n_bytes > flush_bytes or len(settled) > FLUSH_ROWS:
-                        yield frame_of(held, settled)
-                        held, settled, n_bytes = {}, [], 0
-        if held:
-            yield frame_of(held, settled)
+                    key = int(keys[k : k + 1].view(np.int64)[0])
+                    held.add(key, data[first[k] : last[k] + length], uid, int(first[k]), key in hot)
+                    if held.full(flush_bytes):
+                        yield held.frame()
+                        held = _Held(length)
+        if held.runs:
+            yield held.frame()
 
     return run
 
@@ -268,12 +315,6 @@ def _ranges(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _FOUND = ["uid", "begin", "end", "first", "high", "low"]
 
 
-def _digests(context: bytes, length: int) -> np.ndarray:
-    """A row (high, low) for each window: 128 bits of BLAKE2b."""
-    made = [hashlib.blake2b(context[k : k + length], digest_size=16).digest() for k in range(len(context) - length + 1)]
-    return np.frombuffer(b"".join(made), np.int64).reshape(-1, 2)
-
-
 def _expand(length: int, block_bytes: int, hot: int, hot_bytes: int):
     """Found ranges (uid, begin, end: bytes covered) or, for hot keys, windows to be counted (uid, first, high, low).
 
@@ -293,7 +334,7 @@ def _expand(length: int, block_bytes: int, hot: int, hot_bytes: int):
     def windows(stream: list[tuple[bytes, int, int, bool]]) -> pd.DataFrame:
         made = []
         for context, uid, first, _ in stream:
-            d = _digests(context, length)
+            d = np.frombuffer(b"".join(_digests(context, length)), np.int64).reshape(-1, 2)
             made.append((np.full(len(d), uid, np.int64), np.arange(first, first + len(d)), d[:, 0], d[:, 1]))
         u, f, h, w = (np.concatenate(x) for x in zip(*made))
         return pd.DataFrame({"uid": u, "begin": None, "end": None, "first": f, "high": h, "low": w}).astype({c: "Int64" for c in _FOUND})
@@ -305,6 +346,7 @@ def _expand(length: int, block_bytes: int, hot: int, hot_bytes: int):
         rows: list[tuple] = []  # settled
         held = own_bytes = stream_bytes = 0
         key, streaming = None, False
+        window: tuple[bytes, int, int, bool] | None = None  # the last one told by its hash, and whether it is settled
 
         def close() -> None:
             """What is gathered of a key goes into the block, unless it is one repeated context."""
@@ -328,6 +370,14 @@ def _expand(length: int, block_bytes: int, hot: int, hot_bytes: int):
                 if context is None:
                     rows.append((uid, first, first + size))
                     continue
+                if size == length and len(context) == _DIGEST:
+                    same = window is not None and window[0] == context
+                    if same and not window[3]:
+                        rows.append((window[1], window[2], window[2] + size))
+                    if same or again:
+                        rows.append((uid, first, first + size))
+                    window = (context, uid, first, bool(same or again))
+                    continue
                 if k != key:
                     close()
                     key, streaming = k, False
@@ -408,8 +458,9 @@ def _identity(text_col: str) -> tuple[Column, Column]:
 
 
 def removals(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH, hot: int = HOT, hot_bytes: int = HOT_BYTES, block_bytes: int = BLOCK_BYTES
-) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, stretch: int = STRETCH,
+    hot_owners: int = HOT_OWNERS, hot: int = HOT, hot_bytes: int = HOT_BYTES, block_bytes: int = BLOCK_BYTES,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(marked, copies, changed): doc_id, n_bytes, sha and rid of every row; the shas of texts (of ``length`` bytes or more) that occur
     more than once; for each other row of which something goes, its sha, rid, n_removed, n_spans, kept_sha256 and kept.
 
@@ -422,12 +473,15 @@ def removals(
     texts = base.where(F.col("n_bytes") >= length)
     copies = cut(texts.groupBy("sha").agg(F.count("*").alias("copies"), F.min("rid").alias("rid")))
     anchors = texts.select(F.xxhash64("sha").alias("tkey"), "text").mapInPandas(_anchors(length, stretch), COMBINED)
-    lists = shared_keys(anchors).groupBy(F.col("owner").alias("tkey")).agg(F.collect_set("key").alias("shared"))
+    shared = cut(shared_keys(anchors))
+    frequent = cut(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_owners).select("key", F.col("key").alias("hot")))
+    shared = shared.withColumn("hot", F.lit(None).cast("bigint")) if at_most(frequent, 0) else shared.join(bounded(frequent), "key", "left")
+    lists = shared.groupBy(F.col("owner").alias("tkey")).agg(F.collect_set("key").alias("shared"), F.collect_set("hot").alias("hot"))
     # the one row that stands for all copies of a text
-    lists = lists.join(copies.withColumn("tkey", F.xxhash64("sha")), "tkey").select("sha", "rid", "shared", "copies")
+    lists = lists.join(copies.withColumn("tkey", F.xxhash64("sha")), "tkey").select("sha", "rid", "shared", "hot", "copies")
     standing = texts.select("sha", "rid", "text").join(lists, ["sha", "rid"]).dropDuplicates(["sha", "rid"])
     standing = cut(standing.withColumn("uid", F.monotonically_increasing_id()))  # fixed by the checkpoint
-    contexts = standing.select("uid", "text", "shared").mapInPandas(_contexts(length, stretch), _CONTEXTS)
+    contexts = standing.select("uid", "text", "shared", "hot").mapInPandas(_contexts(length, stretch), _CONTEXTS)
     contexts = contexts.repartition(n, "key").sortWithinPartitions("key", "context")
     found = cut(contexts.mapInPandas(_expand(length, block_bytes, hot, hot_bytes), ", ".join(f"{c} bigint" for c in _FOUND)))
     counted = found.where("high is not null").groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
