@@ -152,6 +152,7 @@ def test_boxes_by_cells_and_by_broadcast(spark):
     assert pairs(100) == pairs(0) and pairs(0)
 
 
+#: Samples of at most five of the numbers below n that results have to match (fixed values).
 GOLDEN = {6: [2, 3, 5], 8: [2, 3, 5, 6], 9: [2, 3, 5, 6, 8], 12: [5, 6, 9], 22: [5, 6, 9, 12], 29: [5, 6, 9, 12, 22], 35: [6, 9, 12, 29], 37: [6, 9, 12, 29, 35], 105: [9]}
 
 
