@@ -330,6 +330,9 @@ def test_languages(spark):
     assert all(got[d].lang_pred == "und" and got[d].score == 0 and got[d].rejected for d in (1000, 1001, 1002))
     assert got[1003].rejected and got[1004].rejected and got[1004].lang_pred in WORDS
     assert got[1005].lang_pred == "en" and not got[1005].rejected
+    for n in (60, 150, 600):
+        for letters in ("abcdefghijklmnopqrstuvwxyz ", "абвгдежзиклмнопрст "):
+            assert langid.predict_text(model, "".join(rng.choice(letters) for _ in range(n)))[3], (n, letters)
 
 
 def test_probabilities_sum_to_one():

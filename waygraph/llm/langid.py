@@ -32,6 +32,8 @@ from .common import bounded, cut, with_struct
 ORDER = 4
 DISCOUNT = 0.75
 MAX_DOCS, MAX_CHARS = 400, 1_500_000
+#: Of the calibration's excesses: the one that counts.
+QUANTILE = 0.98
 #: Times MAX_DOCS: rows of a language that are expected to be ranked.
 SPARE = 4
 #: Letters that the models tell apart; all others share one code.
@@ -377,16 +379,16 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         if len(use):
             mean = float(use["h"].mean())
             spread = float(use["h"].std()) if len(use) > 1 else 0.0
-            # short texts vary more: the widest excess, on the scale of a single letter
-            widest = float(((own["h"] - mean).clip(lower=0) * np.sqrt(own["n"])).max())
+            # short texts vary more: a high quantile of the excess, on the scale of a single letter (the widest one may be junk)
+            widest = float(((own["h"] - mean).clip(lower=0) * np.sqrt(own["n"])).quantile(QUANTILE))
             model.limits[k] = (mean, spread, widest)
         else:
             model.limits[k] = (np.log(len(model.letters) + 2), 1.0, 1.0)
     return model
 
 
-#: Rejected is what lies further out than this many times the widest excess of the calibration, and further than MARGIN nats a letter.
-SLACK, MARGIN = 2.0, 1.25
+#: Rejected is what lies further out than SLACK times the calibration's excess, SPREADS times its spread and MARGIN nats a letter.
+SLACK, SPREADS, MARGIN = 1.5, 6, 1.25
 
 
 def predict_texts(model: Model, texts: list[str | None]) -> list[tuple[str, float, float | None, bool]]:
@@ -402,7 +404,7 @@ def predict_texts(model: Model, texts: list[str | None]) -> list[tuple[str, floa
         k = int(np.argmin(h))
         score = 1.0 / float(np.exp(-(h - h[k]) * min(n, 40)).sum())
         mean, spread, widest = model.limits[k]
-        limit = mean + max(MARGIN, 8 * spread, SLACK * widest / np.sqrt(n))
+        limit = mean + max(MARGIN, SPREADS * spread, SLACK * widest / np.sqrt(n))
         out.append((model.langs[k], round(score, 6), float(h[k]), bool(h[k] > limit)))
     return out
 
