@@ -152,6 +152,22 @@ def test_boxes_by_cells_and_by_broadcast(spark):
     assert pairs(100) == pairs(0) and pairs(0)
 
 
+def test_totals_of_boxes_are_counted_without_pairs(spark):
+    """Whole numbers, so that borders touch; one box twice, one that nothing meets."""
+    rng = random.Random(6)
+    place = lambda n: [float(rng.randrange(n)) for _ in range(4)]
+    lines = spark.createDataFrame([(k, k, *place(40)) for k in range(200)], "edge_id bigint, distance bigint, x1 double, y1 double, x2 double, y2 double")
+    boxes = spark.createDataFrame([(k % 30, *place(50)) for k in range(31)] + [(99, 60.0, 60.0, 61.0, 61.0)], "box_id bigint, bx1 double, by1 double, bx2 double, by2 double")
+    pairs = spatial.edges_in_boxes(lines, boxes).groupBy("box_id").agg(F.count("*"), F.sum("distance"))
+    want = sorted(map(tuple, pairs.collect()))
+    assert want and all(99 != box for box, *_ in want)
+    for most in (100, 7):
+        totals = spatial.box_totals(lines, boxes, most)
+        assert sorted(map(tuple, totals.collect())) == want
+    assert "Join" not in totals._jdf.queryExecution().executedPlan().toString()
+    assert spatial.box_totals(lines.limit(0), boxes).count() == 0 and spatial.box_totals(lines, boxes.limit(0)).count() == 0
+
+
 #: Samples of at most five of the numbers below n that results have to match (fixed values).
 GOLDEN = {6: [2, 3, 5], 8: [2, 3, 5, 6], 9: [2, 3, 5, 6, 8], 12: [5, 6, 9], 22: [5, 6, 9, 12], 29: [5, 6, 9, 12, 22], 35: [6, 9, 12, 29], 37: [6, 9, 12, 29, 35], 105: [9]}
 
