@@ -1,5 +1,7 @@
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +126,37 @@ def test_shortest_paths_both_ways(spark, small):
             assert r.path[0] == r.start and r.path[-1] == r.goal and sum(pairs[p] for p in zip(r.path, r.path[1:])) == want
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+@pytest.mark.parametrize("least", [0, 1])
+def test_few_and_many_goals_and_walked_legs(spark, small, least):
+    """Small weights, so that many paths tie: one goal is searched from both ends, many from the start; both give the same path."""
+    rng = random.Random(least)
+    pairs = {(a, b): rng.randrange(least, 4) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(130))}
+    df = spark.createDataFrame([(a, b, 1, w) for (a, b), w in pairs.items()], "src bigint, dst bigint, road_level int, distance bigint")
+    starts, ends = spark.range(0, 12).toDF("start"), spark.range(0, 42).toDF("goal")
+    best = {s: dijkstra([(a, b, w) for (a, b), w in pairs.items()], s) for s in range(12)}
+    got = routing.many_to_many(df, starts, ends, small_edges=small, reached=True, walked=True).collect()
+    assert Counter(map(tuple, got)) == Counter((s, g, d, d) for s in best for g, d in best[s].items())
+    if least and small:
+        csr = tuple(routing._broadcast_graph(df).value)[1:]
+        back = routing._turned(csr)
+        lists = [a.tolist() for a in csr]
+        for s, g in ((s, g) for s in range(12) for g in range(csr[0].size - 1) if s != g):
+            found, before = routing._search(lists, s, {g})
+            distance, path = routing._settle(csr, s, g, back)
+            assert distance == found.get(g)
+            if g in found:
+                want = [g]
+                while want[-1] != s:
+                    want.append(before[want[-1]])
+                assert path == want[::-1]
+
+
+def test_distances_beyond_32_bits():
+    source, head, weight = np.array([0, 1, 2]), np.array([1, 2, 3]), np.array([1 << 29, 1 << 29, 1 << 29])
+    assert routing._spread(4, source, weight, head, np.array([0]))[:, 0].tolist() == [0, 1 << 29, 1 << 30, 3 << 29]
+
+
 def test_nearest_by_brute_force(spark):
     rng = random.Random(3)
     lines = [(k, k, k + 1, *[rng.uniform(0, 1000) for _ in range(4)]) for k in range(60)] + [(60, 3, 3, 5.0, 5.0, 5.0, 5.0)]
