@@ -177,6 +177,24 @@ def test_nearest_by_brute_force(spark):
         assert abs(r.d2 - min(d2(points[r.point_id], ln) for ln in lines)) < 1e-6
 
 
+def test_nearest_lines_by_bounds_and_columns(spark):
+    """Many lines over few points and far ones, lines of no length and equal lines: the least distance, then the least id, in chunks and in one."""
+    rng = np.random.default_rng(9)
+    ends = rng.uniform(0, 1000, (3000, 4)).round(1)
+    ends[::7, 2:] = ends[::7, :2]
+    ends[1::5, 2] = ends[1::5, 0]
+    ends[1500:1600] = ends[:100]
+    lines = [(k, k, k + 1, *map(float, e)) for k, e in enumerate(ends)]
+    points = np.concatenate([rng.uniform(-100, 1100, (300, 2)), rng.uniform(-90000, 90000, (20, 2))])
+    d2 = np.stack([spatial._distance2(points[:, 0], points[:, 1], *e) for e in ends])
+    want = {k: (int(d2[:, k].argmin()), d2[:, k].min()) for k in range(len(points))}
+    p = spark.createDataFrame([(k, float(x), float(y)) for k, (x, y) in enumerate(points)], "point_id bigint, px double, py double")
+    ln = spark.createDataFrame(lines, "target_id bigint, src bigint, dst bigint, x1 double, y1 double, x2 double, y2 double")
+    for most, first in ((1000, 10), (150, 5000)):
+        assert {r.point_id: (r.target_id, r.d2) for r in spatial.nearest_lines(p, ln, most, first).collect()} == want
+    assert spatial.nearest_lines(p, ln.limit(0)).count() == spatial.nearest_lines(p.limit(0), ln).count() == 0
+
+
 def test_boxes_by_cells_and_by_broadcast(spark):
     rng = random.Random(5)
     lines = spark.createDataFrame([(k, *[rng.uniform(0, 100) for _ in range(4)]) for k in range(50)], "edge_id bigint, x1 double, y1 double, x2 double, y2 double")
