@@ -270,3 +270,35 @@ def test_route_goes_round_and_reports(spark):
     assert got[2].error.startswith("Expected at least 2") and got[3].error.startswith("Could not parse pair x,1")
     cut_off = spatial.with_lines(edges.where("edge_id <> 2"), nodes)
     assert {r.request_id: r.error for r in routing.route(asked, cut_off, nodes).collect()}[1] == "no route"
+
+
+def test_pairs_are_searched_bridge_by_bridge(monkeypatch):
+    """Three parts that hang together by one edge each, one that is apart, a dead end and a bridge of one direction."""
+    rng = random.Random(3)
+    pairs = {(40 * k + rng.randrange(30), 40 * k + rng.randrange(30)): rng.randrange(1, 4) for k in range(4) for _ in range(90)}
+    pairs |= {(3, 45): 2, (45, 3): 3, (50, 85): 1, (85, 50): 2, (7, 31): 1, (31, 7): 1, (8, 32): 1}
+    ids = np.unique(list(pairs))
+    rows = sorted((int(np.searchsorted(ids, a)), int(np.searchsorted(ids, b)), w) for (a, b), w in pairs.items())
+    src, dst, weight = (np.array(c) for c in zip(*rows))
+    csr = (np.searchsorted(src, np.arange(len(ids) + 1)), dst, weight)
+    back, forest, lists = routing._turned(csr), routing._forest(csr), [a.tolist() for a in csr]
+
+    def labels(skip=None):
+        both = [{a, b} for a, b, _ in rows if {a, b} != skip]
+        return routing.weak_labels(len(ids), *np.array([(min(e), max(e)) for e in both]).T)
+
+    apart = {frozenset(e) for e in {(a, b) for a, b, _ in rows if a != b} if len(set(labels(set(e)).tolist())) > len(set(labels().tolist()))}
+    _, parent, _, bridge = forest
+    assert {frozenset((int(v), int(parent[v]))) for v in np.flatnonzero(bridge)} == apart
+    looked, settle = [], routing._settle
+    monkeypatch.setattr(routing, "_settle", lambda csr, a, b, back: looked.append((a, b)) or settle(csr, a, b, back))
+    known = {}
+    for s in range(0, len(ids), 3):
+        found, before = routing._search(lists, s, set(range(len(ids))))
+        for g in range(len(ids)):
+            distance, path = routing._bridge_by_bridge(csr, back, forest, s, g, known)
+            assert distance == found.get(g)
+            if path:
+                assert path[0] == s and all(before[b] == a for a, b in zip(path, path[1:])) and path[-1] == g
+    side = (ids // 40).tolist()
+    assert looked and all(side[a] == side[b] for a, b in looked)
