@@ -302,3 +302,26 @@ def test_pairs_are_searched_bridge_by_bridge(monkeypatch):
                 assert path[0] == s and all(before[b] == a for a, b in zip(path, path[1:])) and path[-1] == g
     side = (ids // 40).tolist()
     assert looked and all(side[a] == side[b] for a, b in looked)
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 20])
+def test_strong_components_from_whole_arrays(rounds):
+    rng = random.Random(rounds)
+    for _ in range(20):
+        pairs = [(rng.randrange(25), rng.randrange(25)) for _ in range(35)]
+        nodes, (a, b) = np.unique(pairs), (np.searchsorted(np.unique(pairs), x) for x in zip(*pairs))
+        forth, back = graph._Ends(a, b, len(nodes), 3), graph._Ends(b, a, len(nodes), 3)
+        got = graph.strong_labels(len(nodes), forth, back, np.ones(len(nodes), bool), rounds)
+        assert dict(zip(nodes.tolist(), nodes[got].tolist())) == strong(pairs)[0]
+
+
+def test_repaired_labels_all_at_once(spark):
+    """One labelling gives the rows that reachability, dead ends and links give one by one."""
+    rng = random.Random(5)
+    pairs = {(30 * k + rng.randrange(20), 30 * k + rng.randrange(20)) for k in range(4) for _ in range(28)}
+    rows = [(a, b, rng.choice([2, 4, 5]), rng.randrange(9)) for a, b in sorted(pairs)]
+    df = spark.createDataFrame(rows, "src bigint, dst bigint, road_level int, distance bigint")
+    nodes = spark.createDataFrame([(n, 0, n * 977 % 5003) for n in range(120)], "id bigint, lat_udeg int, lon_udeg int")
+    at_once, one_by_one = graph.repaired(df, nodes), graph.repaired(df, nodes, one_task_edges=0)
+    assert Counter(map(tuple, at_once.collect())) == Counter(map(tuple, one_by_one.collect()))
+    assert len({r.component_id for r in graph.strong_components(at_once).collect()}) == 1
