@@ -226,3 +226,19 @@ def test_components_both_ways(spark, limit):
             label[a] = label[b] = min(label[a], label[b])
     got = components.connected_components(spark.createDataFrame([*pairs, (None, 3)], "a bigint, b bigint"), limit)
     assert dict(map(tuple, got.collect())) == label
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    """A batch of texts is held several times on both sides; a lower limit of the session's stays."""
+    from waygraph.llm import common, ngram_join, substring_dedup
+
+    name, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
+    before = spark.conf.get(name)
+    try:
+        for operator in (ngram_join.jaccard_classes, substring_dedup.remove_repeats):
+            for given, want in ((10_000, common.BATCH_ROWS), (0, common.BATCH_ROWS), (7, 7)):
+                spark.conf.set(name, given)
+                operator(docs)
+                assert int(spark.conf.get(name)) == want
+    finally:
+        spark.conf.set(name, before)

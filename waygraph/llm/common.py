@@ -59,6 +59,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of a batch between Spark and Python, where Spark's own limit is higher: texts of a batch are held several times on both sides.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows a batch to ``BATCH_ROWS``; only the memory of a task depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def grouped_frames(batches: Iterator[pd.DataFrame], keys: list[str], max_rows: int = 50_000) -> Iterator[pd.DataFrame]:
     """Re-cuts frames of a partition sorted by ``keys`` so that no key is split over two frames.
 

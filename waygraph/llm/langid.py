@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, with_struct
+from .common import bounded, cut, small_batches, with_struct
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -426,6 +426,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def without_rejected(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``df`` without the rows that ``identify`` rejects; all columns kept, whatever their names."""
+    small_batches(df.sparkSession)
     row = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
     kept = identify(row, model).where("not rejected")
     return kept.select(*[F.col("row").getField(c).alias(c) for c in df.columns])

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, grouped_frames, partitions, shared_keys, shingle_set
+from .common import COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, grouped_frames, partitions, shared_keys, shingle_set, small_batches
 from .components import connected_components
 
 #: Percent of a set that the screening prefixes have beyond what a plain prefix has, in the two rounds.
@@ -247,7 +247,7 @@ def _row_key(id_col: str, text_col: str) -> Column:
 
 def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str, block: int) -> DataFrame:
     """What ``jaccard_classes`` gives, with rk and the component's label."""
-    spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _row_key(id_col, text_col).alias("rk"))
     features = cut(slim.mapInPandas(_features(words), "doc_id bigint, n_shingles bigint, class binary, rk bigint"))
     short = F.expr("cast(conv(hex(substring(class, 1, 8)), 16, -10) as bigint)")

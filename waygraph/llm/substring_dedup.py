@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, partitions, prefix_hash, shared_keys, window_hashes
+from .common import CHUNK, COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, partitions, prefix_hash, shared_keys, small_batches, window_hashes
 
 LENGTH, STRETCH = 200, 88
 #: Texts of one key whose runs are gathered at most.
@@ -466,6 +466,7 @@ def removals(
 
     rid is a hash of id and text; beside the sha it spreads equal texts over the partitions.
     """
+    small_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     sha, n_bytes = _identity(text_col)
     base = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), sha.alias("sha"), n_bytes.alias("n_bytes"))
