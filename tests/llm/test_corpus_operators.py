@@ -3,13 +3,16 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from waygraph.llm import components, decontaminate, ngram_join, substring_dedup
+from waygraph.llm import common, components, decontaminate, ngram_join, sentencepiece_codec, substring_dedup
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -242,3 +245,25 @@ def test_texts_go_to_python_in_small_batches(spark):
                 assert int(spark.conf.get(name)) == want
     finally:
         spark.conf.set(name, before)
+
+
+def test_a_block_takes_few_bytes_a_symbol():
+    rng = np.random.default_rng(5)
+    contexts = [bytes(rng.integers(97, 101, 700, dtype=np.uint8)) for _ in range(300)]
+    contexts += [c[100:450] for c in contexts[::5]]
+    tracemalloc.start()
+    found = substring_dedup.repeats_in_block(contexts, [1] * len(contexts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [int(f.sum()) for f in found[:6]] == [151, 0, 0, 0, 0, 151] and all(f.all() for f in found[300:])
+    assert peak < 60 * sum(len(c) + 1 for c in contexts)
+
+
+def test_a_worker_lets_go_of_what_other_operators_kept():
+    path = common.default_tokenizer_path(sentencepiece_codec.MODEL)
+    kept = sentencepiece_codec.codec(path)
+    common.drop_others(sentencepiece_codec.__name__)
+    assert sentencepiece_codec.codec(path) is kept
+    frames = [pd.DataFrame({"a": [k]}) for k in range(3)]
+    assert [f["a"][0] for f in common.lean(lambda given: given)(iter(frames))] == [0, 1, 2]
+    assert sentencepiece_codec.codec(path) is not kept

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +73,48 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+#: What operators keep in a worker from task to task: by owner, how to let go of it.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(owner: str, drop: Callable[[], None]) -> None:
+    """Says that ``owner`` keeps something in its worker, which ``drop`` lets go of."""
+    _KEPT[owner] = drop
+
+
+def drop_others(owner: str = "") -> None:
+    """Lets go of what other operators than ``owner`` have kept in this worker: a session's stages share their workers."""
+    for name, drop in _KEPT.items():
+        if name != owner:
+            drop()
+
+
+@functools.cache
+def _malloc_trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Gives the memory that this worker has freed back to the machine; the allocators would keep it while the worker idles."""
+    pa.default_memory_pool().release_unused()
+    if call := _malloc_trim():
+        call(0)
+
+
+def lean(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run`` over the frames of a task, in a worker without what other operators kept, which is trimmed before and after. Only memory depends on it."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        drop_others()
+        trim()
+        try:
+            yield from run(frames)
+        finally:
+            trim()
+
+    return task
+
+
 def grouped_frames(batches: Iterator[pd.DataFrame], keys: list[str], max_rows: int = 50_000) -> Iterator[pd.DataFrame]:
     """Re-cuts frames of a partition sorted by ``keys`` so that no key is split over two frames.
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, small_batches, with_struct
+from .common import bounded, cut, drop_others, lean, small_batches, trim, with_struct
 
 ORDER = 4
 DISCOUNT = 0.75
@@ -355,7 +355,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             if len(found := ngram_counts(zip(frame["lang"], frame["text"]))):
                 yield found
 
-    grams = sample.select("lang", "text", "held").mapInPandas(count, "lang string, gram array<int>, n bigint")
+    grams = sample.select("lang", "text", "held").mapInPandas(lean(count), "lang string, gram array<int>, n bigint")
     counts = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return Model.without_languages()
@@ -371,7 +371,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             if out:
                 yield pd.DataFrame(out, columns=["lang", "n", "h"])
 
-    held = sample.select("lang", "text", "held").mapInPandas(held_out, "lang string, n bigint, h double").toPandas()
+    held = sample.select("lang", "text", "held").mapInPandas(lean(held_out), "lang string, n bigint, h double").toPandas()
     for k, lang in enumerate(langs):
         own = held[(held["lang"] == lang)]
         long = own[own["n"] >= 100]
@@ -419,7 +419,10 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(predict_texts(shared.value, list(texts)), columns=["lang_pred", "score", "cross_entropy", "rejected"])
+        drop_others()
+        found = pd.DataFrame(predict_texts(shared.value, list(texts)), columns=["lang_pred", "score", "cross_entropy", "rejected"])
+        trim()
+        return found
 
     return with_struct(df, predict(F.col(f"`{text_col}`")))
 

@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, grouped_frames, partitions, shared_keys, shingle_set, small_batches
+from .common import COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, grouped_frames, lean, partitions, shared_keys, shingle_set, small_batches
 from .components import connected_components
 
 #: Percent of a set that the screening prefixes have beyond what a plain prefix has, in the two rounds.
@@ -97,7 +97,7 @@ def _screening(sets_of, percent: int, extra: int):
                 if not len(s) or (c := _short(_class_of(s))) in seen:
                     continue
                 seen.add(c)
-                p = s[: screen_length(len(s), percent, extra)]
+                p = s[: screen_length(len(s), percent, extra)].copy()  # the rest of the set is not held
                 parts.append((p, np.full(len(p), c, np.int64), np.zeros(len(p), bool)))
                 held += len(p)
                 if held > FLUSH_ROWS:
@@ -228,7 +228,7 @@ def _verify(percent: int):
 def _run_blocks(rows: DataFrame, percent: int) -> DataFrame:
     """Links found in blocks; rows: block, side, known, class, size, prefix, tokens."""
     ordered = rows.repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block")
-    return cut(ordered.mapInPandas(_verify(percent), "a binary, b binary"))
+    return cut(ordered.mapInPandas(lean(_verify(percent)), "a binary, b binary"))
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -249,19 +249,19 @@ def _labelled(docs: DataFrame, words: int, percent: int, id_col: str, text_col:
     """What ``jaccard_classes`` gives, with rk and the component's label."""
     small_batches(docs.sparkSession)
     slim = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), _row_key(id_col, text_col).alias("rk"))
-    features = cut(slim.mapInPandas(_features(words), "doc_id bigint, n_shingles bigint, class binary, rk bigint"))
+    features = cut(slim.mapInPandas(lean(_features(words)), "doc_id bigint, n_shingles bigint, class binary, rk bigint"))
     short = F.expr("cast(conv(hex(substring(class, 1, 8)), 16, -10) as bigint)")
     classes = features.where("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n_shingles"), F.min("doc_id").alias("doc_id"), F.min("rk").alias("rk"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("c", short))
 
     # 1. two rounds of screening: all documents by a short prefix, then the classes left by a long one
-    prefixes = slim.select("text").mapInPandas(_screening(lambda f: (shingle_set(t, words) for t in f["text"]), percent, EXTRA), COMBINED)
+    prefixes = slim.select("text").mapInPandas(lean(_screening(lambda f: (shingle_set(t, words) for t in f["text"]), percent, EXTRA)), COMBINED)
     alive = _passed(prefixes, classes, percent, EXTRA)
     texts = slim.select("rk", "text").join(bounded(alive.select("rk", "class")), "rk").select("class", "text")
-    sets = cut(texts.mapInPandas(_sets(words), "class binary, size bigint, tokens array<bigint>"))
+    sets = cut(texts.mapInPandas(lean(_sets(words)), "class binary, size bigint, tokens array<bigint>"))
     if sets.count() > alive.count():  # only if rows repeat id and text
         sets = cut(sets.dropDuplicates(["class"]))
-    prefixes = sets.select("tokens").mapInPandas(_screening(lambda f: (np.asarray(t, np.int64).view(np.uint64) for t in f["tokens"]), percent, EXTRA_AGAIN), COMBINED)
+    prefixes = sets.select("tokens").mapInPandas(lean(_screening(lambda f: (np.asarray(t, np.int64).view(np.uint64) for t in f["tokens"]), percent, EXTRA_AGAIN)), COMBINED)
     alive = _passed(prefixes, alive, percent, EXTRA_AGAIN)
 
     # 2. order by frequency among the classes left; prefixes; groups of identical prefix and size

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import default_tokenizer_path, with_struct
+from .common import default_tokenizer_path, drop_others, keeps, trim, with_struct
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -329,6 +329,7 @@ class Codec:
 
 
 _LOADED: dict[str, Codec] = {}
+keeps(__name__, _LOADED.clear)
 
 
 def codec(path: str) -> Codec:
@@ -367,8 +368,10 @@ def digest_documents(df: DataFrame, id_cols: list[str], text_col: str = "text",
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_crc32 bigint")
     def digest(texts: pd.Series) -> pd.DataFrame:
-        c = codec(path)
-        return pd.DataFrame(c.digests(list(texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
+        drop_others(__name__)
+        found = pd.DataFrame(codec(path).digests(list(texts)), columns=["n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
+        trim()
+        return found
 
     found = digest(F.col(f"`{text_col}`")).alias("found")
     own = ("n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32")

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK, COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, partitions, prefix_hash, shared_keys, small_batches, window_hashes
+from .common import CHUNK, COMBINED, FLUSH_ROWS, at_most, bounded, combined, cut, lean, partitions, prefix_hash, shared_keys, small_batches, window_hashes
 
 LENGTH, STRETCH = 200, 88
 #: Texts of one key whose runs are gathered at most.
@@ -200,32 +200,34 @@ def suffix_order(data: np.ndarray, depth: int) -> np.ndarray:
     Symbols are below 512. Prefix doubling from seven of them on; each round sorts only the suffixes whose place is still open.
     """
     n = len(data)
-    padded = np.concatenate([data.astype(np.uint64), np.zeros(7, np.uint64)])
+    place = np.int32 if n + depth < 1 << 31 else np.int64
     key = np.zeros(n, np.uint64)
     for j in range(7):
-        key = (key << np.uint64(9)) | padded[j : n + j]
-    order = np.argsort(key)
-    s = key[order]
+        key <<= np.uint64(9)
+        key[: max(0, n - j)] |= data[j:]
+    order = np.argsort(key).astype(place)
+    key = key[order]
     fresh = np.ones(n, bool)
-    fresh[1:] = s[1:] != s[:-1]
-    begin = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))  # where each row's group begins
-    rank = np.zeros(2 * n + 8 * depth, np.int64)  # past the end: less than all
-    rank[order] = begin + 1
+    fresh[1:] = key[1:] != key[:-1]
+    del key
+    rank = np.zeros(n + depth, place)  # past the end: less than all
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n, dtype=place), place(0))) + place(1)  # where each row's group begins
     have = 7
     while have < depth:
         alone = fresh & np.append(fresh[1:], True)
-        rows = np.flatnonzero(~alone)
+        rows = np.flatnonzero(~alone).astype(place)
         if not len(rows):
             break
         at = order[rows]
-        second = rank[at + have]
-        by = np.argsort(rank[at] * (n + 2) + second)  # groups stay where they are: their ranks are their places
+        second = rank[at + place(have)]
+        by = np.argsort(rank[at].astype(np.int64) * (n + 2) + second)  # groups stay where they are: their ranks are their places
         order[rows] = at = at[by]
         first, second = rank[at], second[by]
+        del by
         split = np.ones(len(rows), bool)
         split[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
         fresh[rows] = split
-        rank[at] = np.maximum.accumulate(np.where(split, rows, 0)) + 1
+        rank[at] = np.maximum.accumulate(np.where(split, rows, place(0))) + place(1)
         have *= 2
     return order
 
@@ -240,46 +242,47 @@ def repeated_suffixes(data: np.ndarray, depth: int) -> np.ndarray:
     """
     n = len(data)
     order = suffix_order(data, depth)
-    bwt = data[order - 1]  # the byte before each suffix, cyclic
+    place = order.dtype.type
+    bwt = data[order - place(1)]  # the byte before each suffix, cyclic
     # where the row of a suffix goes when the byte before it is put in front: rows of one byte keep their order
-    forth = np.empty(n, np.int64)
-    forth[np.argsort(bwt, kind="stable")] = np.arange(n)
-    every = np.unique(bwt)
-    rows_of = {int(c): np.flatnonzero(bwt == c) for c in every}
-    starts, total = {}, 0
-    for c in every.tolist():
-        starts[c] = total
-        total += len(rows_of[c])
+    by_byte = np.argsort(bwt, kind="stable").astype(place)
+    forth = np.empty(n, place)
+    forth[by_byte] = np.arange(n, dtype=place)
+    every, counts = np.unique(bwt, return_counts=True)
+    starts = dict(zip(every.tolist(), (np.cumsum(counts) - counts).tolist()))
+    rows_of = dict(zip(every.tolist(), np.split(by_byte, np.cumsum(counts)[:-1])))
     unset = np.ones(n + 1, bool)
     unset[0] = unset[n] = False
-    lo, hi = np.zeros(1, np.int64), np.full(1, n, np.int64)
+    lo, hi = np.zeros(1, place), np.full(1, n, place)
     for level in range(depth):
         size = hi - lo
         one = size == 1
         few = ~one & (size <= 256)
         new_lo, new_hi = [forth[lo[one]]], []
-        new_hi.append(new_lo[0] + 1)
+        new_hi.append(new_lo[0] + place(1))
         if few.any():
             f_lo, f_size = lo[few], size[few]
-            which = np.repeat(np.arange(len(f_lo)), f_size)
-            rows = np.arange(len(which)) - np.repeat(np.cumsum(f_size) - f_size, f_size) + f_lo[which]
+            rows = np.repeat(f_lo - (np.cumsum(f_size, dtype=place) - f_size), f_size)
+            rows += np.arange(len(rows), dtype=place)
             # within an interval, the rows of one byte go to neighbouring places
-            to, byte = forth[rows], bwt[rows].astype(np.int64)
-            key = (which << 9) | byte
+            to = forth[rows]
+            key = np.repeat(np.arange(len(f_lo), dtype=np.int32 if len(f_lo) < 1 << 22 else np.int64) << 9, f_size)
+            key |= bwt[rows]
+            del rows
             if (key[1:] < key[:-1]).any():
                 by = np.argsort(key, kind="stable")
                 key, to = key[by], to[by]
             edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             new_lo.append(to[edge])
-            new_hi.append(to[np.append(edge[1:], len(to)) - 1] + 1)
+            new_hi.append(to[np.append(edge[1:], len(to)) - 1] + place(1))
         large = size > 256
         if large.any():
             l_lo, l_hi = lo[large], hi[large]
             for c in every.tolist():
                 a = np.searchsorted(rows_of[c], l_lo) + starts[c]
                 b = np.searchsorted(rows_of[c], l_hi) + starts[c]
-                new_lo.append(a[b > a])
-                new_hi.append(b[b > a])
+                new_lo.append(a[b > a].astype(place))
+                new_hi.append(b[b > a].astype(place))
         lo, hi = np.concatenate(new_lo), np.concatenate(new_hi)
         fresh = unset[hi]
         lo, hi = lo[fresh], hi[fresh]  # of one level, only one interval ends at a row
@@ -473,7 +476,7 @@ def removals(
     base = base.select("*", F.xxhash64("doc_id", "sha").alias("rid"))
     texts = base.where(F.col("n_bytes") >= length)
     copies = cut(texts.groupBy("sha").agg(F.count("*").alias("copies"), F.min("rid").alias("rid")))
-    anchors = texts.select(F.xxhash64("sha").alias("tkey"), "text").mapInPandas(_anchors(length, stretch), COMBINED)
+    anchors = texts.select(F.xxhash64("sha").alias("tkey"), "text").mapInPandas(lean(_anchors(length, stretch)), COMBINED)
     shared = cut(shared_keys(anchors))
     frequent = cut(shared.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_owners).select("key", F.col("key").alias("hot")))
     shared = shared.withColumn("hot", F.lit(None).cast("bigint")) if at_most(frequent, 0) else shared.join(bounded(frequent), "key", "left")
@@ -482,15 +485,15 @@ def removals(
     lists = lists.join(copies.withColumn("tkey", F.xxhash64("sha")), "tkey").select("sha", "rid", "shared", "hot", "copies")
     standing = texts.select("sha", "rid", "text").join(lists, ["sha", "rid"]).dropDuplicates(["sha", "rid"])
     standing = cut(standing.withColumn("uid", F.monotonically_increasing_id()))  # fixed by the checkpoint
-    contexts = standing.select("uid", "text", "shared", "hot").mapInPandas(_contexts(length, stretch), _CONTEXTS)
+    contexts = standing.select("uid", "text", "shared", "hot").mapInPandas(lean(_contexts(length, stretch)), _CONTEXTS)
     contexts = contexts.repartition(n, "key").sortWithinPartitions("key", "context")
-    found = cut(contexts.mapInPandas(_expand(length, block_bytes, hot, hot_bytes), ", ".join(f"{c} bigint" for c in _FOUND)))
+    found = cut(contexts.mapInPandas(lean(_expand(length, block_bytes, hot, hot_bytes)), ", ".join(f"{c} bigint" for c in _FOUND)))
     counted = found.where("high is not null").groupBy("high", "low").agg(F.count("*").alias("n")).where("n > 1").select("high", "low")
     more = found.where("high is not null").join(counted, ["high", "low"], "left_semi")
     spans = found.where("begin is not null").select("uid", "begin", "end").union(more.select("uid", F.col("first").alias("begin"), (F.col("first") + length).alias("end")))
     spans = spans.groupBy("uid").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     alone = standing.where("copies = 1").select("uid", "sha", "rid", "text").join(spans, "uid")
-    changed = alone.select("sha", "rid", "text", "spans").mapInPandas(_cut_out, "sha binary, rid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    changed = alone.select("sha", "rid", "text", "spans").mapInPandas(lean(_cut_out), "sha binary, rid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     return base.drop("text"), copies.where("copies > 1").select("sha"), changed
 
 
