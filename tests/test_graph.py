@@ -152,6 +152,30 @@ def test_few_and_many_goals_and_walked_legs(spark, small, least):
                 assert path == want[::-1]
 
 
+def two_rings(spark):
+    """Even and odd nodes, two parts; origins 0 to 5, one that is nowhere, and the distances."""
+    pairs = [(k, (k + 2) % 80, 1 + k % 7) for k in range(80)]
+    df = spark.createDataFrame([(a, b, 1, w) for a, b, w in pairs], "src bigint, dst bigint, road_level int, distance bigint")
+    return df, spark.createDataFrame([(k,) for k in (*range(6), 99)], "start bigint"), {s: dijkstra(pairs, s) for s in range(6)}
+
+
+def changes(rows):
+    """How often the goal of a task's rows changes, for each of the two parts of its starts."""
+    out = {}
+    for r in rows:
+        own = out.setdefault((r.task, r.start % 2), [None, 0])
+        own[1] += own[0] != r.goal
+        own[0] = r.goal
+    return [n for _, n in out.values()]
+
+
+def test_ways_come_goal_by_goal(spark):
+    df, starts, best = two_rings(spark)
+    got = routing.many_to_many(df, starts, spark.range(0, 82).toDF("goal"), reached=True).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.start, r.goal, r.distance) for r in got) == sorted((s, g, d) for s in best for g, d in best[s].items())
+    assert max(changes(got)) <= 40  # goals of a part, whatever the number of its starts
+
+
 def test_distances_beyond_32_bits():
     source, head, weight = np.array([0, 1, 2]), np.array([1, 2, 3]), np.array([1 << 29, 1 << 29, 1 << 29])
     assert routing._spread(4, source, weight, head, np.array([0]))[:, 0].tolist() == [0, 1 << 29, 1 << 30, 3 << 29]
