@@ -183,6 +183,13 @@ def test_pairs_without_a_way_come_goal_by_goal(spark):
     assert max(changes(got)) <= 82
 
 
+def test_walked_legs_come_goal_by_goal(spark):
+    df, starts, best = two_rings(spark)
+    got = routing.many_to_many(df, starts, spark.range(0, 82).toDF("goal"), reached=True, walked=True).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.start, r.goal, r.distance, r.walked) for r in got) == sorted((s, g, d, d) for s in best for g, d in best[s].items())
+    assert max(changes(got)) <= 40
+
+
 def test_distances_beyond_32_bits():
     source, head, weight = np.array([0, 1, 2]), np.array([1, 2, 3]), np.array([1 << 29, 1 << 29, 1 << 29])
     assert routing._spread(4, source, weight, head, np.array([0]))[:, 0].tolist() == [0, 1 << 29, 1 << 30, 3 << 29]
