@@ -342,6 +342,25 @@ def test_pairs_are_searched_bridge_by_bridge(monkeypatch):
     assert looked and all(side[a] == side[b] for a, b in looked)
 
 
+
+def test_a_few_pairs_over_a_large_graph_are_searched_block_by_block(spark, monkeypatch):
+    """Parts that hang together by bridges, some of one direction, one part apart: the same paths as from the whole graph, without rounds of joins."""
+    rng = random.Random(8)
+    pairs = {(40 * k + rng.randrange(30), 40 * k + rng.randrange(30)): rng.randrange(1, 4) for k in range(4) for _ in range(90)}
+    pairs |= {(3, 45): 2, (45, 3): 3, (50, 85): 1, (7, 31): 1, (31, 7): 1, (8, 32): 1}
+    df = spark.createDataFrame([(a, b, 1, w) for (a, b), w in pairs.items()], "src bigint, dst bigint, road_level int, distance bigint")
+    asked = [(k, rng.randrange(155), rng.randrange(155)) for k in range(80)] + [(80, 5, 5), (81, 999, 999), (81, 999, 5), (82, 31, 88), (82, 31, 88)]
+    asked = spark.createDataFrame(asked, "query_id bigint, start bigint, goal bigint")
+    want = Counter((*r[:4], tuple(r.path or ())) for r in routing.shortest_paths(df, asked).collect())
+    assert len({r[3] for r in want}) > 9 and sum(want.values()) == 85
+    relaxed, rounds_of = routing._relaxed, []
+    monkeypatch.setattr(routing, "_relaxed", lambda *a: rounds_of.append(a) or relaxed(*a))
+    for most, rounds in ((1000, 0), (70, 1)):
+        got = routing.shortest_paths(df, asked, small_edges=0, block_edges=most).collect()
+        assert Counter((*r[:3], r.distance) for r in got) == Counter(r[:4] for r in want.elements())
+        assert rounds or Counter((*r[:4], tuple(r.path or ())) for r in got) == want
+        assert len(rounds_of) == rounds
+
 @pytest.mark.parametrize("rounds", [0, 1, 20])
 def test_strong_components_from_whole_arrays(rounds):
     rng = random.Random(rounds)
